@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, secrets
+from veriloom.llm import chat, decontaminate, mixing, secrets
 
 ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -50,12 +50,59 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of each document; first_position is where its first copy stands in training (null: not taken)."""
+    plan = mixing.allocate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op7_chat_format": op7_chat_format,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op8_decontaminate": rf"""
+        with w as (select doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select cast(item_id as varchar) as item, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+        bw as (select distinct item, least(len(w), 13) as k, array_to_string(list_slice(w, i, i + 12), ' ') as win
+               from (select item, w, unnest(generate_series(1, greatest(1, len(w) - 12))) as i from b where len(w) > 0)),
+        ks as (select distinct k from bw),
+        dw as (select doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') as win
+               from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from w, ks where len(w) >= k)),
+        m as (select doc_id, i, dw.k, item from dw join bw on dw.k = bw.k and dw.win = bw.win),
+        h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + k - 1)) as p from m) group by doc_id),
+        it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from m) group by doc_id)
+        select doc_id, coalesce(len(w), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+          coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) as contaminated
+        from w left join h using (doc_id) left join it using (doc_id)""",
+    "op10_mixing": r"""
+        with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5('mix:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rank from d group by source),
+        w as (select *, [1, 2, 3][((rank - 1) % 3 + 1)::int] as weight, source_size * 3 as cap from s),
+        l as (select *, (sum(source_size) over () - sum(cap) over (order by cap / weight, rank rows unbounded preceding) + cap)::double
+                / (sum(weight) over (order by cap / weight, rank rows between current row and unbounded following))::double as level from w),
+        t as (select *, least(cap::double, weight * first_value(level) over (order by case when level * weight <= cap then 0 else 1 end, cap / weight, rank)) as target from l),
+        p as (select doc_id, size, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes,
+                sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as start
+              from d join t on d.source is not distinct from t.source)
+        select doc_id, size, source_size, target,
+          cast(case when size > 0 then size * (passes + case when start + size / 2.0 <= target - passes * source_size and passes < 3 then 1 else 0 end) else 0 end as bigint) as taken
+        from p""",
     "op7_chat_format": r"""
         with t as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
