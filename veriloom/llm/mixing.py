@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.llm import shared
+
 BUCKET_ROWS = 2048
 #: Weights repeat over the sources' ranks; so do the schedules: constant, rising, falling then level.
 WEIGHTS = (1, 2, 3)
@@ -76,8 +78,7 @@ def allocate(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     """doc_id, source, size, source_size, target, copies, taken, positions (array<double>, one for each copy)."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_in_words(F.col(text)).alias("size"))
     sized = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    if docs.sparkSession.conf.get("spark.checkpoint.dir", None) or docs.sparkSession.sparkContext.getCheckpointDir():
-        sized = sized.checkpoint()  # narrow rows, read three times below; the texts are read once
+    sized = shared.cut(sized)  # narrow rows, read three times below; the texts are read once
     stats = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, cap)
     segments = F.array(*[_knots(s) for s in schedules])
     stats = stats.withColumn("segments", F.element_at(segments, F.pmod(F.col("rank") - 1, F.lit(len(schedules))) + 1)).withColumn("buckets", F.ceil(F.col("docs") / BUCKET_ROWS))

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, decontaminate, mixing, secrets
+from veriloom.llm import chat, decontaminate, mixing, quality, secrets, warc
 
 ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda rank: F.size(F.filter("base_spans", lambda s: s["rank"] == rank)).cast("long")
@@ -62,6 +67,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the resampling keeps."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of each document; first_position is where its first copy stands in training (null: not taken)."""
     plan = mixing.allocate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
@@ -69,13 +80,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_secret_scan": op3_secret_scan,
     "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": """
+        with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+        k as (select *, case when n >= 1000 then max(page_id) over (partition by html) end as keep from p)
+        select page_id, cast(n as bigint) as payload_bytes, sha1(html) as payload_digest,
+          case when keep is not null and page_id is distinct from keep then 'revisit' else 'response' end as record_type,
+          case when keep is not null and page_id is distinct from keep then keep end as refers_to
+        from k""",
     "op8_decontaminate": rf"""
         with w as (select doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         b as (select cast(item_id as varchar) as item, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
