@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, decontaminate, mixing, quality, secrets, warc
+from veriloom.llm import chat, decontaminate, mixing, quality, secrets, topk, warc
 
 ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -30,6 +30,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything is read back from the examples: the turns from a conversation's longest one, the loss text by the masks."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -82,6 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_secret_scan": op3_secret_scan,
+    "op4_top_k": op4_top_k,
     "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
@@ -96,6 +102,13 @@ ORACLE: dict[str, str] = {
           case when keep is not null and page_id is distinct from keep then 'revisit' else 'response' end as record_type,
           case when keep is not null and page_id is distinct from keep then keep end as refers_to
         from k""",
+    "op4_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+                   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+              from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
     "op8_decontaminate": rf"""
         with w as (select doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         b as (select cast(item_id as varchar) as item, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
