@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import chat, decontaminate, mixing, quality, secrets, topk, warc
+from veriloom.llm import chat, decontaminate, mixing, ngram_join, quality, secrets, topk, warc
 
 ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, t=(85, 100))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda rank: F.size(F.filter("base_spans", lambda s: s["rank"] == rank)).cast("long")
@@ -86,6 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_ngram_join": op2_ngram_join,
     "op3_secret_scan": op3_secret_scan,
     "op4_top_k": op4_top_k,
     "op7_chat_format": op7_chat_format,
