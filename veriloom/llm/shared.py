@@ -26,3 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, with copies that survive the loss of executors."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
