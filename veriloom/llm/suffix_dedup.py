@@ -6,9 +6,10 @@ segment is their bytes.
 
 1. Anchor hashes are dealt by range as packed arrays; a task settles by itself what repeats among its own documents and sends one
    entry for each hash.  Anchors whose hash occurs once are done.
-2. For the others the segments are cut out of the texts and written as a table.  Equal segments are aggregated to their first
-   occurrence before any sort: all windows of all others start earlier elsewhere.
-3. The first occurrences' suffixes (from the anchor on) are range-partitioned by their leading bytes with sampled splitters.  Each
+2. For the others the segments are named by hashes of anchor and bytes.  An aggregate finds each name's first occurrence before any
+   sort: all windows of all others start earlier there.
+3. Only first occurrences whose anchor also stands in other segments need their bytes compared: their suffixes (from the anchor on)
+   are range-partitioned by their leading bytes with sampled splitters.  Each
    bucket sorts its suffixes by multikey quicksort over 8-byte characters, and compares windows that share enough of the sorted suffixes' prefixes and
    the bytes before the anchor.  Windows whose prefix is that of a bucket's first or last suffix can have equals in the next
    bucket: their first occurrences are compared across boundaries in one more aggregation.
@@ -102,9 +103,9 @@ def _packed(ranges: int):
             rows.append((r, kind, ids.tobytes(), (short >> U(32)).astype(np.uint8).tobytes(), short.astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), ((p.astype(U) << U(1)) | known.astype(U)).astype(U).tobytes() if p.max(initial=0) >= 1 << 31 else ((p.astype(np.uint32) << np.uint32(1)) | known).astype(np.uint32).tobytes()))
 
         own = np.flatnonzero(several)
-        for part in np.array_split(own, max(1, len(own) // 20_000)):
+        for i, part in enumerate(np.array_split(own, max(1, len(own) // 2000))):
             if len(part):
-                put(int(h[part[0]] % U(ranges)), 0, h[part], doc[part], place[part], several[part])
+                put(int((h[part[0]] + U(i)) % U(ranges)), 0, h[part], doc[part], place[part], several[part])
         one = np.flatnonzero(first)
         # ranges by the low bits, which the 40 kept bits don't hold
         r = ((h[one] & U(0xFFFFFF)) % U(ranges)).astype(np.int64)
@@ -172,30 +173,47 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(rows)
 
 
+def _chosen(batch: pa.RecordBatch, column: str, pick: str):
+    """Blocks of the documents with their anchors that stand at the places asked for (pick: "at"), or whose first window does."""
+    ids, asked = batch.column("doc_id").to_numpy(), batch.column(column)
+    for a, b, data, offsets in textkit.blocks(batch.column("text"), BLOCK):
+        at, first, last, h, owner = anchors(data, offsets)
+        wanted = np.concatenate([asked[a + i].values.to_numpy() + offsets[i] for i in range(b - a)] or [np.zeros(0, np.int64)])
+        keep = np.flatnonzero(np.isin(at if pick == "at" else first, wanted))
+        if len(keep):
+            at, first, last, h, owner = (x[keep] for x in (at, first, last, h, owner))
+            yield data, at, first, last, h, ids[a + owner], first - offsets[owner]
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the places of their repeated anchors: the segments of these."""
-    names = ["doc_id", "start", "windows", "h1", "h2", "left", "right"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """Documents with the places of their repeated anchors: the names of these anchors' segments, and whether the document had one before."""
+    names = ["gram", "segment", "doc_id", "start", "windows", "again"]
     for batch in batches:
-        ids, places = batch.column("doc_id").to_numpy(), batch.column("places")
-        for a, b, data, offsets in textkit.blocks(batch.column("text"), BLOCK):
-            at, first, last, _, owner = anchors(data, offsets)
-            wanted = np.concatenate([places[a + i].values.to_numpy() + offsets[i] for i in range(b - a)] or [np.zeros(0, np.int64)])
-            pick = np.flatnonzero(np.isin(at, wanted))
-            if not len(pick):
-                continue
-            at, first, last, owner = at[pick], first[pick], last[pick], owner[pick]
+        for data, at, first, last, h, doc, start in _chosen(batch, "places", "at"):
+            base = 0x9E3779B97F4A7C15
+            up, down = textkit.powers(base, len(data)), textkit.powers(pow(base, -1, 1 << 64), len(data))
+            total = np.zeros(len(data) + 1, U)
+            np.cumsum(_BYTE[data] * up, out=total[1:])
+            name = mix((total[last + LENGTH] - total[first]) * down[first] + mix((at - first).astype(U)) + (last - first).astype(U))
+            order = np.lexsort((start, name, h, doc))
+            same = np.zeros(len(order), dtype=bool)
+            o = order
+            same[1:] = (doc[o][1:] == doc[o][:-1]) & (h[o][1:] == h[o][:-1]) & (name[o][1:] == name[o][:-1])
+            again = np.zeros(len(order), dtype=bool)
+            again[order] = same
+            columns = [h.view(np.int64), name.view(np.int64), doc, start.astype(np.int32), (last - first + 1).astype(np.int32), again]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the first windows of segments: these segments' bytes before the anchor and from it on."""
+    names, kinds = ["doc_id", "start", "windows", "left", "right"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    for batch in batches:
+        for data, at, first, last, _, doc, start in _chosen(batch, "starts", "first"):
             raw = data.tobytes()
             left = [raw[i:j] for i, j in zip(first, at, strict=True)]
             right = [raw[i:j] for i, j in zip(at, last + LENGTH, strict=True)]
-            sums = []
-            for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                up, down = textkit.powers(base, len(data)), textkit.powers(pow(base, -1, 1 << 64), len(data))
-                total = np.zeros(len(data) + 1, U)
-                np.cumsum(_BYTE[data] * up, out=total[1:])
-                sums.append(mix((total[last + LENGTH] - total[first]) * down[first] + mix((at - first).astype(U)) + (last - first).astype(U)).view(np.int64))
-            columns = [ids[a + owner], first - offsets[owner], (last - first + 1).astype(np.int32), *sums, left, right]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([doc, start, last - first + 1, left, right], kinds, strict=True)], names=names)
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,41 +331,58 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[open_rows[i : i + 20_000]]), pa.array(at), pa.array(at), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
 
 
-def _position(doc: str = "doc_id", start: str = "start") -> F.Column:
-    """Document and start as one number, so that a hash aggregate can take its minimum."""
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col(start).cast("decimal(13,0)")).cast("decimal(38,0)")
+def _places(docs: DataFrame, n: int) -> DataFrame:
+    """Step 1: doc_id, place of the anchors whose hash occurs more than once."""
+    entry = "r int, kind int, docs binary, high binary, low binary, at binary, place binary"
+    dealt = docs.mapInArrow(_packed(n), entry).repartition(n, "r").sortWithinPartitions("r")
+    return shared.table(dealt.mapInArrow(_shared, "doc_id long, place long"), "places")
+
+
+def _named(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Step 2: the segments of these anchors by name."""
+    wanted = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    return shared.table(docs.join(wanted, "doc_id").mapInArrow(_segments, "gram long, segment long, doc_id long, start int, windows int, again boolean"), "segments")
+
+
+def _copied(segments: DataFrame, first: DataFrame) -> DataFrame:
+    """All windows of segments that aren't their name's first: they start earlier."""
+    late = segments.join(first.select("gram", "segment", F.col("doc_id").alias("least")), ["gram", "segment"]).where("again or doc_id > least")
+    return shared.table(late.select("doc_id", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("windows") - 1).cast("long").alias("last")), "copied")
+
+
+def _compared(docs: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """Step 3: the first occurrences of segments that share their anchor with others, as sorted suffixes."""
+    several = first.groupBy("gram").agg(F.min("segment").alias("lo"), F.max("segment").alias("hi")).where("lo < hi").select("gram")
+    starts = first.join(several, "gram").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    suffixes = docs.join(starts, "doc_id").mapInArrow(_bytes, "doc_id long, start long, windows long, left binary, right binary")
+    return shared.table(suffixes.repartitionByRange(n, "right").mapInArrow(_bucket, "doc_id long, first long, last long, h1 long, h2 long"), "compared")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last: runs of window starts whose LENGTH bytes also start earlier.  docs: doc_id long, text string, no nulls."""
+    """doc_id, first, last: runs of window starts whose LENGTH bytes also start earlier.  docs: doc_id long, text string, no nulls.
+
+    Each step's result is a table, so its shuffle files can go before the next step needs the room.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entry = "r int, kind int, docs binary, high binary, low binary, at binary, place binary"
-    dealt = docs.mapInArrow(_packed(n), entry).repartition(n, "r").sortWithinPartitions("r")
-    places = shared.cut(dealt.mapInArrow(_shared, "doc_id long, place long"))
+    places = _places(docs, n)
     shared.release(spark)
-
-    root = shared.fresh(spark, "segments")
-    wanted = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    schema = "doc_id long, start long, windows int, h1 long, h2 long, left binary, right binary"
-    docs.join(wanted, "doc_id").mapInArrow(_segments, schema).write.parquet(root)
+    segments = _named(docs, places)
+    shared.drop(places)
     shared.release(spark)
-
-    segments = spark.read.schema(schema).parquet(root).withColumn("position", _position())
-    first = segments.groupBy("h1", "h2").agg(F.min("position").alias("least"))
-    copies = segments.select("h1", "h2", "doc_id", "start", "windows", "position").join(first, ["h1", "h2"]).where("position > least")
-    copies = shared.cut(copies.select("doc_id", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last")))
-
-    one = segments.groupBy("h1", "h2", "left", "right", "windows").agg(F.min("position").alias("position"))
-    start = f"pmod(position, cast({1 << 40} as decimal(38,0)))"
-    one = one.selectExpr(f"cast((position - {start}) div cast({1 << 40} as decimal(38,0)) as bigint) as doc_id", f"cast({start} as bigint) as start", "windows", "left", "right")
-    sorted_ = one.repartitionByRange(n, "right").mapInArrow(_bucket, "doc_id long, first long, last long, h1 long, h2 long")
-    found = shared.cut(sorted_)
+    first = shared.table(segments.where("not again").groupBy("gram", "segment").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start")), "first")
+    shared.release(spark)
+    copied = _copied(segments, first)
+    shared.drop(segments)
+    shared.release(spark)
+    found = _compared(docs, first, n)
+    shared.drop(first)
     shared.release(spark)
-    border = found.where("h1 is not null").withColumn("position", _position("doc_id", "first"))
+    order = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col("first").cast("decimal(13,0)")
+    border = found.where("h1 is not null").withColumn("position", order.cast("decimal(38,0)"))
     least = border.groupBy("h1", "h2").agg(F.min("position").alias("least"))
     crossing = border.join(least, ["h1", "h2"]).where("position > least").select("doc_id", "first", "last")
-    return copies.union(found.where("h1 is null").select("doc_id", "first", "last")).union(crossing)
+    return copied.union(found.where("h1 is null").select("doc_id", "first", "last")).union(crossing)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +408,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs, bytes, ends exclusive), kept (the other bytes)."""
     given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = shared.cut(repeated_windows(given).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+    found = shared.table(repeated_windows(given).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    shared.release(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     out = given.join(found, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
