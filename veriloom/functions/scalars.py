@@ -5,7 +5,7 @@ All take and give strings (numbers: doubles), never raise, and give null for nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions import fixed
@@ -17,6 +17,12 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, each column computed once: a generator of one row, which the optimizer neither merges with what stands above nor
+    pushes conditions through.  Without it long chains of expressions that use one another several times grow without measure."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def _group(text: Column, pattern: str, group: int) -> Column:
     """A group of the first match, null where there is none or it takes no part."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -14,10 +14,9 @@ from veriloom.functions.text import capitalize, clean_claim, normalize
 
 
 def canonical_label(label: Column) -> Column:
-    word = F.lower(F.trim(F.coalesce(label, F.lit("unrelated"))))
-    for alias, name in fixed.LABEL_ALIASES.items():
-        word = F.when(word == alias, F.lit(name)).otherwise(word)
-    return F.when(word.isin(*fixed.LABELS), word).otherwise(F.lit("unrelated"))
+    names = fixed.LABEL_ALIASES | {name: name for name in fixed.LABELS}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(known[F.lower(F.trim(label))], F.lit("unrelated"))
 
 
 def clamped(confidence: Column) -> Column:
@@ -142,36 +141,59 @@ def _own_cue(label: Column, explanation: Column) -> Column:
     return out
 
 
+def agreed(label: Column, explanation: Column) -> Column:
+    """(relationship, explanation) made to agree: the label yields to an explanation that speaks only for another one; what still lacks a cue of its label gets a sentence."""
+
+    def relabel(p: Column) -> Column:
+        other = implied_label(p["text"])
+        keep = p["blank"] | _own_cue(p["label"], p["text"]) | other.isNull()
+        return F.struct(F.when(keep, p["label"]).otherwise(other).alias("label"), p["text"].alias("text"), p["blank"].alias("blank"), p["given"].alias("given"))
+
+    def complete(p: Column) -> Column:
+        more = F.lit(None).cast("string")
+        for name, sentence in fixed.SUPPORT.items():
+            more = F.when(p["label"] == name, F.lit(sentence)).otherwise(more)
+        lacks = ~p["blank"] & more.isNotNull() & ~_own_cue(p["label"], p["text"])
+        told = F.when(lacks, F.concat(F.regexp_replace(p["text"], r"[ .]+$", ""), F.lit(". "), more)).otherwise(p["given"])
+        return F.struct(p["label"].alias("relationship"), told.alias("explanation"))
+
+    text = F.coalesce(explanation, F.lit(""))
+    begin = F.struct(label.alias("label"), text.alias("text"), (F.regexp_replace(text, r"(?U)\s+", "") == "").alias("blank"), explanation.alias("given"))
+    return scalars.let(begin, lambda p: scalars.let(relabel(p), complete))
+
+
 def consistent(rows: DataFrame, label: str = "relationship", explanation: str = "explanation") -> DataFrame:
-    """Make label and explanation agree: the label yields to an explanation that speaks only for another one; what still lacks a cue of its label gets a sentence."""
-    text = F.coalesce(F.col(explanation), F.lit(""))
-    blank = F.regexp_replace(text, r"(?U)\s+", "") == ""
-    other = implied_label(text)
-    rows = rows.withColumn(label, F.when(blank | _own_cue(F.col(label), text) | other.isNull(), F.col(label)).otherwise(other))
-    more = F.lit(None).cast("string")
-    for name, sentence in fixed.SUPPORT.items():
-        more = F.when(F.col(label) == name, F.lit(sentence)).otherwise(more)
-    lacks = ~blank & more.isNotNull() & ~_own_cue(F.col(label), text)
-    return rows.withColumn(explanation, F.when(lacks, F.concat(F.regexp_replace(text, r"[ .]+$", ""), F.lit(". "), more)).otherwise(F.col(explanation)))
+    rows = rows.withColumn("__a", agreed(F.col(label), F.col(explanation)))
+    return rows.withColumns({label: F.col("__a.relationship"), explanation: F.col("__a.explanation")}).drop("__a")
+
+
+def verdict(f1: Column, f2: Column, relationship: Column, explanation: Column, tolerance: float = 0.02) -> Column:
+    """(relationship, explanation, rule) of a model's label and explanation.  Each step is computed once, and the expression stays small wherever the optimizer moves it."""
+    s = signals(f1, f2, tolerance)
+
+    def ruled(p: Column) -> Column:
+        fired = rule(p["label"], {k: p[k] for k in s})
+        return F.struct(fired.alias("rule"), p["label"].alias("label"), p["values_conflict"].alias("conflict"))
+
+    def outcome(p: Column) -> Column:
+        return F.struct(p["rule"].alias("rule"), ruled_label(p["label"], p["rule"], p["conflict"]).alias("label"))
+
+    def told(p: Column) -> Column:
+        key = F.when(p["rule"] == 6, F.concat_ws(" ", F.lit("6"), p["label"])).otherwise(p["rule"].cast("string"))
+        reason = F.create_map(*[F.lit(x) for pair in fixed.REASONS.items() for x in pair])[key]
+        text = F.when(p["rule"] > 0, explained(f1, f2, reason)).otherwise(F.coalesce(explanation, F.lit("")))
+        final = scalars.let(agreed(p["label"], text), lambda a: F.struct(a["relationship"].alias("relationship"), a["explanation"].alias("explanation"), p["rule"].alias("rule")))
+        return final
+
+    begin = F.struct(canonical_label(relationship).alias("label"), *[c.alias(k) for k, c in s.items()])
+    return scalars.let(begin, lambda p: scalars.let(ruled(p), lambda q: scalars.let(outcome(q), told)))
 
 
 def judge(verdicts: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """f1, f2, relationship, confidence, explanation, context_notes as a model gave them, to comparisons; `rule` says what changed the label."""
-    f1, f2 = F.col("f1"), F.col("f2")
-    rows = verdicts.withColumns({"relationship": canonical_label(F.col("relationship")), "confidence": clamped(F.col("confidence")), "explanation": F.coalesce("explanation", F.lit(""))})
-    s = signals(f1, f2, tolerance)
-    needed = [k for k in s]
-    rows = rows.withColumn("__s", F.struct(*[s[k].alias(k) for k in needed]))
-    held = {k: F.col("__s")[k] for k in needed}
-    rows = rows.withColumn("rule", rule(F.col("relationship"), held))
-    rows = rows.withColumn("relationship", ruled_label(F.col("relationship"), F.col("rule"), held["values_conflict"]))
-    key = F.when(F.col("rule") == 6, F.concat_ws(" ", F.lit("6"), "relationship")).otherwise(F.col("rule").cast("string"))
-    reason = F.lit(None).cast("string")
-    for k, text in fixed.REASONS.items():
-        reason = F.when(key == k, F.lit(text)).otherwise(reason)
-    rows = rows.withColumn("explanation", F.when(F.col("rule") > 0, explained(f1, f2, reason)).otherwise(F.col("explanation")))
-    rows = consistent(rows)
-    return rows.select(F.coalesce("f1.id", F.lit("f1")).alias("fact1_id"), F.coalesce("f2.id", F.lit("f2")).alias("fact2_id"), "relationship", "confidence", "explanation", "context_notes", "rule")
+    out = verdict(F.col("f1"), F.col("f2"), F.col("relationship"), F.col("explanation"), tolerance)
+    rows = verdicts.select("f1.id", F.col("f2.id").alias("id2"), "confidence", "context_notes", out.alias("v"))
+    return rows.select(F.coalesce("id", F.lit("f1")).alias("fact1_id"), F.coalesce("id2", F.lit("f2")).alias("fact2_id"), "v.relationship", clamped(F.col("confidence")).alias("confidence"), "v.explanation", "context_notes", "v.rule")
 
 
 def related(comparisons: DataFrame) -> DataFrame:
