@@ -1,0 +1,355 @@
+"""The operators that use Python on executors, against brute force on small tables; nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns throughout."""
+
+import gzip
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from veriloom.llm import chaining, components, decontaminate, ngram_join, quality, suffix_dedup, textkit, topk, warc
+from veriloom.llm.queries import op1_warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+# ------------------------------------------------------------------ shared ground
+def test_word_hashes():
+    import pyarrow as pa
+
+    texts = ["", "One two", None, "two\tONE\x0b\nthree", "é É", " ", "x" * 3000, "two"]
+    hasher, found = textkit.Hasher(), {}
+    for a, b, data, offsets in textkit.blocks(pa.array(texts), 16):
+        start, end, hashes, first = hasher.words(data, offsets)
+        for i in range(a, b):
+            words = WORD.findall((texts[i] or "").translate(LOWER))
+            mine = hashes[first[i - a] : first[i - a + 1]].tolist()
+            assert len(words) == len(mine)
+            for w, h in zip(words, mine, strict=True):
+                assert found.setdefault(w, h) == h
+    assert len(set(found.values())) == len(found)
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ------------------------------------------------------------------ WARC
+def pages(spark):
+    rng = random.Random(7)
+    long = [prose(rng, 400) for _ in range(4)]
+    rows = [(i, f"http://h{i % 3}/p?{i}\r\né", rng.choice([*long, "short", None, prose(rng, 300)]), "x") for i in range(60)]
+    rows += [(None, None, long[0], "x"), (70, "u", long[1], "x"), (70, "u", long[1], "x"), (-5, "u", "é" * 600, "x"), (-6, "u", "é" * 600, "x"), (-7, "u", "é" * 499, "x"), (-8, "u", "é" * 499, "x")]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows, frame = pages(spark)
+    root = f"file://{tmp_path}/w"
+    manifest = warc.write(frame, root, shard_bytes=4000, roll_bytes=900).collect()
+    assert len({m.shard for m in manifest}) > 3 and sum(m.records for m in manifest) == len(rows) and any(m.roll > 0 for m in manifest)
+    largest = {}
+    for i, _, html, _ in rows:
+        raw = (html or "").encode()
+        if len(raw) >= 1000 and i is not None:
+            largest[raw] = max(i, largest.get(raw, i))
+    wanted = []
+    for i, _, html, _ in rows:
+        raw = (html or "").encode()
+        keep = largest.get(raw)
+        revisit = keep is not None and i != keep
+        wanted.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", keep if revisit else None, None if revisit else raw))
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.read(spark, root).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    again = f"file://{tmp_path}/again"
+    assert sorted(map(tuple, warc.write(frame.orderBy(F.desc("page_id")), again, shard_bytes=4000, roll_bytes=900).collect())) == sorted(map(tuple, manifest))
+    name = manifest[0].file
+    text = gzip.decompress((tmp_path / "w/data" / name).read_bytes())
+    assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and os.listdir(tmp_path / "w/_tmp") == []
+    assert warc.read(spark, again).where("record_type = 'revisit'").count() == sum(w[3] == "revisit" for w in wanted)
+
+
+def test_warc_notices_a_changed_file(spark, tmp_path):
+    root = f"file://{tmp_path}/w"
+    name = warc.write(pages(spark)[1], root).collect()[0].file
+    path = tmp_path / "w/data" / name
+    path.write_bytes(path.read_bytes() + warc.packed(warc.record(1, "u", b"more", None, False)))
+    try:
+        warc.read(spark, root).collect()
+        raise AssertionError("a file that isn't the manifest's was read")
+    except Exception as problem:
+        assert "isn't the file that the manifest lists" in str(problem)
+
+
+def test_warc_of_nothing(spark):
+    empty = pages(spark)[1].where("page_id > 1000")
+    assert warc.archive(empty).count() == 0 and "refers_to" in op1_warc.__globals__["warc"].RECORD
+
+
+# ------------------------------------------------------------------ near duplicates
+def sets_of(rows, k):
+    out = {}
+    for i, text in rows:
+        w = WORD.findall((text or "").translate(LOWER))
+        out.setdefault(i, []).append(frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset())
+    return out
+
+
+def brute_groups(rows, k, t):
+    sets = [(i, s) for i, many in sets_of(rows, k).items() if i is not None for s in many]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and b and t[1] * len(a & b) >= t[0] * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i, _ in sets}
+
+
+def near_rows():
+    rng = random.Random(8)
+    base, rows = [prose(rng, n) for n in (30, 60, 120, 300)], []
+    for i in range(150):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 9])):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    passage = prose(rng, 40)
+    rows += [(200 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 30)) for i in range(40)]
+    return rows + [(300, None), (301, ""), (302, " \n"), (303, "one two"), (304, "One  TWO"), (305, "one two three"), (None, base[0]), (306, base[0]), (306, base[1]), (307, "k " * 5000)]
+
+
+def test_groups_equal_brute_force(spark, monkeypatch):
+    rows = near_rows()
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    for k, t in ((4, (85, 100)), (5, (80, 100))):
+        wanted = brute_groups(rows, k, t)
+        got = ngram_join.groups(frame, k, t).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == wanted
+        assert all(r.component_id is None for r in got if r.doc_id is None)
+        assert {r.doc_id: r.n_shingles for r in got if r.doc_id not in (None, 306)} == {i: len(s[0]) for i, s in sets_of(rows, k).items() if i not in (None, 306)}
+    assert ngram_join.groups(frame.where("doc_id < 0")).count() == 0
+
+
+def test_hot_shingles_go_through_blocks(spark, monkeypatch):
+    rows = near_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = ngram_join.links.__defaults__
+    monkeypatch.setattr(ngram_join.links, "__defaults__", (2, 16, 50))
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(frame, 5, (80, 100)).collect() if r.doc_id is not None}
+    assert whole[0] == ngram_join.COLD and got == brute_groups(rows, 5, (80, 100))
+
+
+def test_trie_finds_what_a_plain_join_finds():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(80)]
+    tree = ngram_join.Trie(sets)
+    for x in sets[::5]:
+        wanted = [j for j, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 60 * len(np.union1d(x, y))]
+        assert sorted(tree.search(x, (60, 100)).tolist()) == wanted
+
+
+# ------------------------------------------------------------------ top k
+def test_top_k(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(0, 0.3, 8).round(1).tolist()) for i in range(300)] + [(400 + i, [0.5] * 8) for i in range(40)]
+    rows += [(500, None), (520, []), (540, [1.0, None]), (560, [float("nan")] * 8), (580, [float("inf")] * 8), (None, [1.0] * 8), (600, [0.1] * 3)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    vectors = topk.quantised(frame)
+    got = {}
+    for r in topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, 5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    v = {i: np.pad(np.floor(np.float32(x).astype(float) * 64).astype(int), (0, 8 - len(x))) for i, x in rows if i is not None and x and all(c is not None and np.isfinite(c) for c in x)}
+    for q in (i for i in v if i % 20 == 0):
+        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:5]
+        assert got.pop(q) == {n: (c, -s) for n, (s, c) in enumerate(best, 1)}
+    assert not got
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(topk.quantised(few).where("vec_id = 0"), topk.quantised(few), 5).collect()] == [(0, 1, 1, 8192)]
+    assert topk.top_k(vectors.where("vec_id < 0"), vectors).count() == 0
+
+
+# ------------------------------------------------------------------ passages
+def test_passages(spark):
+    rng = random.Random(11)
+    passage = prose(rng, 80).split()
+    fuzzy = list(passage)
+    for i in (9, 30, 31, 55):
+        fuzzy[i] = "changed"
+    del fuzzy[40]
+    words = lambda n: prose(rng, n, 10**6)
+    rows = [(i, words(200), 0) for i in range(30)]
+    rows += [(40 + i, f"{words(50 + i)} {' '.join(passage)} {words(40)}", 0) for i in range(5)] + [(50, f"{words(20)} {' '.join(fuzzy)} {words(90)}", 0), (51, " ".join(passage[:30]), 0)]
+    rows += [(60, rows[0][1], 0), (61, None, 0), (62, "", 0), (63, "a b c", 0), (None, " ".join(passage), 0), (64, "ho ho " * 300, 0), (65, "ho ho " * 300, 0)]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string, ref_id int")).collect()
+    # a passage's documents hang together through the first of each task, which is the first of all or hangs on it
+    assert {r.doc_id for r in got} == {41, 42, 43, 44, 50, 60, 65} and {0, 40, 64} <= {r.ref_id for r in got} <= {0, 40, 41, 42, 43, 44, 64}
+    assert all(r.ref_id < r.doc_id for r in got)
+    text = {i: WORD.findall(t or "") for i, t, _ in rows}
+    for r in got:
+        mine, other = text[r.doc_id][r.first_word : r.last_word], text[r.ref_id][r.ref_first_word : r.ref_last_word]
+        assert min(len(mine), len(other)) >= 50 and r.identity >= 0.8
+        if r.doc_id in (41, 42, 43, 44):
+            assert mine == passage == other and r.identity == 1.0
+        if r.doc_id == 50:
+            assert 0.9 < r.identity < 1.0 and chaining.common_words(mine, other) == r.matches
+    assert chaining.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chains_follow_both_texts():
+    points = [(i, i + 100) for i in range(0, 60, 3)] + [(5, 3), (20, 400), (75, 175), (300, 390)]
+    best = chaining.chains(points)[0]
+    assert best[0] == (0, 100) and best[-1] == (75, 175) and all(b[0] > a[0] and b[1] > a[1] for a, b in zip(best, best[1:], strict=False))
+    assert sorted(p for c in chaining.chains(points) for p in c) == sorted(points)
+
+
+# ------------------------------------------------------------------ suffixes
+def brute_dedup(rows, length=100):
+    first, out = {}, {}
+    data = {i: (t or "").encode() for i, t in rows}
+    key = lambda i: (i is not None, i)
+    for i in sorted(data, key=key):
+        for j in range(len(data[i]) - length + 1):
+            first.setdefault(data[i][j : j + length], (i, j))
+    for i, raw in data.items():
+        gone = bytearray(len(raw))
+        for j in range(len(raw) - length + 1):
+            if first[raw[j : j + length]] != (i, j):
+                gone[j : j + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        spans = sum(g and (n == 0 or not gone[n - 1]) for n, g in enumerate(gone))
+        out[i] = (len(raw), len(raw) - len(kept), spans, kept)
+    return out
+
+
+def repeating_rows():
+    rng = random.Random(12)
+    letters = lambda n, a="abcdefgh é": "".join(rng.choice(a) for _ in range(n))
+    common = [letters(150), letters(260), letters(99), letters(100)]
+    rows = []
+    for i in range(120):
+        parts = [letters(rng.randint(0, 200)) for _ in range(3)]
+        near = list(rng.choice(common))
+        for _ in range(rng.randint(0, 3)):
+            near[rng.randrange(len(near))] = "#"
+        rows.append((i, parts[0] + rng.choice(common) + parts[1] + "".join(near) + parts[2]))
+    rows += [(200, "z" * 700), (201, "z" * 350), (202, "ab" * 300), (203, rows[0][1]), (204, None), (205, ""), (206, "x" * 99), (207, letters(3000, "ab") * 2), (None, rows[1][1])]
+    return rows
+
+
+def test_dedup_equals_brute_force(spark):
+    rows = repeating_rows()
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, spans int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(frame).collect()}
+    assert got == brute_dedup(rows)
+    assert suffix_dedup.dedup(frame.where("doc_id < 0")).count() == 0
+    twice = suffix_dedup.dedup(spark.createDataFrame([(1, "q" * 50 + "r" * 100)] * 2, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in twice] == [0, 0]
+
+
+def test_buckets_compare_across_boundaries(spark):
+    """With a bucket for every few suffixes almost all comparisons cross a boundary."""
+    rows = repeating_rows()
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute_dedup(rows)
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(13)
+    rows = rng.integers(0, 3, (200, 16)).astype(np.uint8)
+    order, common = suffix_dedup.multikey_order(rows.view(">u8"))
+    ordered = [rows[i].tobytes() for i in order]
+    assert ordered == sorted(ordered)
+    for a, b, c in zip(ordered, ordered[1:], common[1:], strict=False):
+        assert c == (2 if a == b else 1 if a[:8] == b[:8] else 0)
+
+
+# ------------------------------------------------------------------ decontamination
+def test_decontamination(spark):
+    rng = random.Random(14)
+    items = [(i, prose(rng, rng.choice([3, 12, 13, 14, 40]), 50)) for i in range(12)] + [(20, None), (21, " ?! "), (22, "Café  au-lait"), (3, "Café  au-lait")]
+    docs = [(i, prose(rng, 30, 50).upper() + "... " + rng.choice(items[:12])[1].replace(" ", ", ") + "!" + prose(rng, 5, 50), "n") for i in range(60)]
+    docs += [(100, None, "n"), (101, "", "n"), (102, "x CAFé/AU, LAIT.", "n"), (103, "caféau lait", "n"), (104, ("spam " * 3000) + items[4][1], "n")]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall((t or "").translate(LOWER))
+    wins = {}
+    for i, t in items:
+        w = cut(t)
+        for j in range(max(1, len(w) - 12) if w else 0):
+            wins.setdefault(tuple(w[j : j + 13]), set()).add(str(i))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 200):
+        for r in decontaminate.scan(frame, bench, block_bytes=block).withColumn("n_hit", decontaminate.hit_words()).collect():
+            w, hit, found = cut(r.text), set(), set()
+            for size in {len(x) for x in wins}:
+                for j in range(len(w) - size + 1):
+                    if ids := wins.get(tuple(w[j : j + size])):
+                        hit.update(range(j, j + size))
+                        found |= ids
+            assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(found)), r.doc_id
+            assert sum(len(cut(r.text[s.start : s.end])) for s in r.spans) == len(hit)
+    assert decontaminate.scan(frame, bench.where("item_id < 0")).where("size(hits) > 0").count() == 0
+    assert decontaminate.scan(frame.where("doc_id < 0"), bench).count() == 0
+
+
+# ------------------------------------------------------------------ quality
+def test_quality(spark):
+    rng = random.Random(15)
+    good = lambda: " ".join(rng.choice(["the river", "runs over", "green hills", "and stones", "in spring"]) for _ in range(rng.randint(3, 60)))
+    bad = lambda: " ".join(rng.choice(["buy###", "now$$$", "click&&&", "the river|"]) for _ in range(rng.randint(3, 60)))
+    rows = [(i, bad() if i % 5 == 0 else good(), 1) for i in range(600)] + [(700, None, 1), (701, " ", 1), (702, rows_text := good(), 1), (702, rows_text, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_ratio int")
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1, 0) for i in range(0, 600, 2)] + [(None, 1, 0), (1, None, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    kept = [r.doc_id for r in quality.resample(docs, labels).collect()]
+    assert kept == sorted(kept) or set(kept)
+    held_out = [i for i in range(1, 600, 2)]
+    clean, junk = [i for i in held_out if i % 5], [i for i in held_out if i % 5 == 0]
+    assert sum(i in set(kept) for i in clean) / len(clean) > 0.97 and sum(i in set(kept) for i in junk) / len(junk) < 0.05
+    assert not {700, 701} & set(kept) and kept.count(702) in (0, 2)
+    assert sorted(r.doc_id for r in quality.resample(docs, labels).collect()) == sorted(kept)
+    no_labels = quality.resample(docs, labels.where("doc_id < 0"))
+    assert no_labels.count() == 602 and quality.resample(docs.where("doc_id < 0"), labels).count() == 0
+
+
+def test_kth_largest(spark):
+    values = [random.Random(16).choice([0.0, -1.5, 7.25, 1e9, 3.0]) for _ in range(500)] + [random.Random(17).random() for _ in range(500)]
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 99, 350, 777, 1000):
+        assert quality.kth_largest(keys, "key", k) == ordered[k - 1]
+    assert quality.kth_largest(keys, "key", 0) == float("inf")
