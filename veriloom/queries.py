@@ -38,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt out to all of them: one file of one row group would be one task's work.
+    Larger tables have more partitions than cores and stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def re2(pattern: str) -> str:
     """A fixed pattern for DuckDB: letters beyond ASCII are written x before it is applied (see ASCII)."""
     flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
@@ -51,7 +58,7 @@ def ascii_sql(text: str) -> str:
 
 # ------------------------------------------------------------------ pages and text
 def pages_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("source").alias("source_document"), F.col("doc_id").cast("int").alias("source_page"), "text", F.lit("pdfplumber").alias("text_source"))
 
 
@@ -106,7 +113,7 @@ CLAIMS_SQL = r"""(select doc_id, source, ordinal - 1 as ordinal, claim from (
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, ordinal, claim: what stands between sentence ends and line ends, from 12 characters on."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", r"[.!?\n]+", -1)).alias("ordinal", "claim"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.posexplode(F.split("text", r"[.!?\n]+", -1)).alias("ordinal", "claim"))
     return docs.withColumn("claim", F.regexp_replace("claim", r"^[ \t\r]+|[ \t\r]+$", "")).where(F.length("claim") >= 12)
 
 
@@ -553,7 +560,7 @@ def column_blocks(spark, sf_dir):
     return rows.groupBy("source_document", "line").agg(F.count_distinct("block").alias("blocks"), F.count(F.lit(1)).alias("words"))
 
 
-TABLES = "select cast(floor(s_suppkey / 10.0) as string) as source_document, 1 as source_page, s_suppkey as table_no, cast(s_suppkey % 7 as double) as x0, cast(s_nationkey % 5 as double) as top, cast(s_suppkey % 7 + s_nationkey % 11 as double) as x1, cast(s_nationkey % 5 + s_suppkey % 13 as double) as bottom from"
+TABLES = "select cast(cast(floor(s_suppkey / 10.0) as bigint) as string) as source_document, 1 as source_page, s_suppkey as table_no, cast(s_suppkey % 7 as double) as x0, cast(s_nationkey % 5 as double) as top, cast(s_suppkey % 7 + s_nationkey % 11 as double) as x1, cast(s_nationkey % 5 + s_suppkey % 13 as double) as bottom from"
 
 
 @query(f"""
