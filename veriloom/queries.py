@@ -62,7 +62,7 @@ def pages_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("source_document"), F.col("doc_id").cast("int").alias("source_page"), "text", F.lit("pdfplumber").alias("text_source"))
 
 
-@query("select source as source_document, cast(doc_id as int) as source_page, length(text) as length, substr(text, 1, 500) as preview from documents")
+@query("select source as source_document, cast(doc_id as int) as source_page, cast(length(text) as int) as length, substr(text, 1, 500) as preview from documents")
 def page_text_stats(spark, sf_dir):
     return page_source.preview(pages_in(spark, sf_dir), first=1 << 30)
 
