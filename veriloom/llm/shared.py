@@ -14,7 +14,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='veriloom-')}")
-    return (named or context.getCheckpointDir()).rstrip("/")
+    path = (named or context.getCheckpointDir()).rstrip("/")
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def fresh(spark: SparkSession, name: str) -> str:
