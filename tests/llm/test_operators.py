@@ -177,6 +177,23 @@ def test_trie_finds_what_a_plain_join_finds():
         assert sorted(tree.search(x, (60, 100)).tolist()) == wanted
 
 
+def test_trie_of_near_copies_with_small_codes():
+    rng = np.random.default_rng(20)
+    sets = []
+    for _ in range(300):
+        s = np.arange(150)
+        s = np.delete(s, rng.integers(0, 150, rng.integers(0, 16)))
+        sets.append(np.unique(np.concatenate([s, rng.integers(150, 400, rng.integers(0, 12))])))
+    tree = ngram_join.Trie(sets)
+    member = np.zeros((len(sets), 400), dtype=np.int64)
+    for i, s in enumerate(sets):
+        member[i, s] = 1
+    both, size = member @ member.T, member.sum(axis=1)
+    for i, x in enumerate(sets):
+        wanted = np.flatnonzero(100 * both[i] >= 85 * (size[i] + size - both[i]))
+        assert sorted(tree.search(x, (85, 100)).tolist()) == wanted.tolist()
+
+
 # ------------------------------------------------------------------ top k
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(10)
