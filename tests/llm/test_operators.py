@@ -243,6 +243,21 @@ def test_passages(spark):
     assert chaining.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_exact_passage_of_common_phrases(spark):
+    """Each of the passage's 6-word strings has other holders before both documents: only whole windows tell who holds all of it."""
+    rng = random.Random(5)
+    passage = prose(rng, 60).split()
+    own = lambda n: prose(rng, n, 10**6)
+    rows = [(base + i, f"{own(30)} {' '.join(passage[i : i + 6])} {own(30)}") for base in (0, 200) for i in range(55)]
+    rows += [(100, f"{own(40)} {' '.join(passage)} {own(40)}"), (300, f"{own(25)} {' '.join(passage)} {own(60)}")]
+    # the first 50 words alone have a holder before both, so the rest of them must find each other
+    rows += [(90, f"{own(10)} {' '.join(passage[:50])} {own(10)}")]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    whole = [r for r in got if (r.doc_id, r.ref_id) == (300, 100)]
+    assert [(r.first_word, r.last_word, r.ref_first_word, r.ref_last_word, r.identity) for r in whole] == [(25, 85, 40, 100, 1.0)]
+    assert {r.doc_id for r in got} == {100, 300}
+
+
 def test_chains_follow_both_texts():
     points = [(i, i + 100) for i in range(0, 60, 3)] + [(5, 3), (20, 400), (75, 175), (300, 390)]
     best = chaining.chains(points)[0]
