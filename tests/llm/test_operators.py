@@ -378,6 +378,25 @@ def test_quality(spark):
     assert no_labels.count() == 602 and quality.resample(docs.where("doc_id < 0"), labels).count() == 0
 
 
+def test_toxic_documents_are_rejected(spark):
+    """Toxic documents of good prose, without their label as well as with it; the clean ones without a label stay."""
+    rng = random.Random(16)
+    insults = ["moron", "scum", "loser", "clown"]
+
+    def text(i):
+        words = " ".join(rng.choice(["the river", "runs over", "green hills", "and stones", "in spring"]) for _ in range(40)).split()
+        for _ in range(4 if i % 8 == 3 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(insults))
+        return " ".join(words) if i % 8 else " ".join(f"{w}$$$" for w in words)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 != 0), int(i % 8 == 3)) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.resample(docs, labels).collect()}
+    for ids in (range(600), range(600, 1200)):
+        share = lambda which: sum(i in kept for i in ids if i % 8 in which) / sum(i % 8 in which for i in ids)
+        assert share({3}) < 0.1 and share({0}) < 0.1 and share({1, 2, 4, 5, 6, 7}) > 0.95
+
+
 def test_kth_largest(spark):
     values = [random.Random(16).choice([0.0, -1.5, 7.25, 1e9, 3.0]) for _ in range(500)] + [random.Random(17).random() for _ in range(500)]
     keys = spark.createDataFrame([(v,) for v in values], "key double")

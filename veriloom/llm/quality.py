@@ -1,15 +1,21 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Word unigrams and bigrams are hashed into two tables of BUCKETS cells.  The raw model counts all documents; the target model those
-of a bounded sample of labelled rows (at most `max_labelled`, the first by a hash of the id) of good quality.  A document's
+of a bounded sample of labelled rows (at most `max_labelled`, the first by a hash of the id) of good quality that aren't toxic.  A document's
 log ratio is the mean over its n-grams of log p_target - log p_raw; its importance weight is that ratio to the power `grams`,
 as though every document had so many n-grams, since sums would favour length.  Adding Gumbel noise to the log weights and keeping the k
 largest samples k documents without replacement by weight.  k is the number of documents, out of all, whose log ratio reaches the
 level that separates the labelled sample best while `keep` of its good documents pass.
 
-What reaches the driver is bounded: 2 * BUCKETS counts, the labelled sample's scores, and histograms of BINS cells.
+Toxic documents are mostly ordinary prose, so no mean finds them: they have a ratio of their own, of how many toxic and how many other
+labelled documents hold an n-gram.  The sum of a document's TOP largest positive ones is its toxicity, and those beyond the level that
+separates toxic from good documents best, while `keep` of the good ones pass, are rejected before the sampling.  In both models a
+labelled document's own n-grams don't count for it, so the levels hold for documents without a label.
 
-Defined results: null texts and texts without words have no n-grams and are rejected; without labels of both kinds nothing else is;
+What reaches the driver is bounded: 8 * BUCKETS counts and a few, the labelled sample's scores, and histograms of BINS cells.
+
+Defined results: null texts and texts without words have no n-grams and are rejected; without labels of both kinds nothing else is, and without toxic labels nothing is toxic;
+a null toxic label counts as not toxic;
 noise depends on (seed, id) only, so reruns agree, and repeated rows share their fate; rows tied with the k-th key stay;
 extra columns pass through unless named like the added ones; an empty table gives an empty result.
 """
@@ -32,6 +38,7 @@ SLICE = 1 << 12
 MAX_LABELLED = 50_000
 GRAMS = 1000.0
 KEEP = 0.99
+TOP = 3
 BINS = 65536
 SEED = "quality"
 
@@ -45,14 +52,20 @@ def features(hasher: textkit.Hasher, data: np.ndarray, offsets: np.ndarray) -> t
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, counts = textkit.Hasher(), np.zeros((2, 2 * BUCKETS), dtype=np.int64)
+    """N-grams of all and of target documents; toxic and other labelled documents that hold each; in the last slice how many of these there are."""
+    hasher, counts, documents = textkit.Hasher(), np.zeros((4, 2 * BUCKETS), dtype=np.int64), np.zeros((1, SLICE), dtype=np.int64)
     for batch in batches:
-        good = batch.column("target").to_numpy(zero_copy_only=False)
+        good, kind = batch.column("target").to_numpy(zero_copy_only=False), batch.column("kind").to_numpy()
+        documents[0, :3] += np.bincount(kind, minlength=3)
         for a, b, data, offsets in textkit.blocks(batch.column("text")):
             cells, at = features(hasher, data, offsets)
             counts[0] += np.bincount(cells, minlength=2 * BUCKETS)
             counts[1] += np.bincount(cells[good[a:b][at]], minlength=2 * BUCKETS)
-    cut = counts.reshape(-1, SLICE)
+            mine = kind[a:b][at] > 0
+            held = np.unique(at[mine] * (2 * BUCKETS) + cells[mine])
+            for k in (1, 2):
+                counts[1 + k] += np.bincount(held[kind[a:b][held // (2 * BUCKETS)] == k] % (2 * BUCKETS), minlength=2 * BUCKETS)
+    cut = np.concatenate([counts.reshape(-1, SLICE), documents])
     full = np.flatnonzero(cut.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([cut[i].tobytes() for i in full], pa.binary())], names=["slice", "counts"])
 
@@ -67,39 +80,85 @@ def _sum(pdf):
 
 
 def sample_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, target (good quality); one row for an id; bounded, so it may be broadcast."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("target"))
+    """doc_id, target (good quality and not toxic), kind (1: toxic, 2: not); one row for an id; bounded, so it may be broadcast."""
+    toxic = F.max(F.coalesce(F.col("toxic"), F.lit(0))) == 1 if "toxic" in labels.columns else F.lit(False)
+    known = labels.where("doc_id is not null and quality is not null" + (" or doc_id is not null and toxic = 1" if "toxic" in labels.columns else ""))
+    one = known.groupBy("doc_id").agg((F.coalesce(F.min("quality") == 1, F.lit(False)) & ~toxic).alias("target"), F.when(toxic, 1).otherwise(2).alias("kind"), (F.coalesce(F.min("quality") != 1, F.lit(False))).alias("low"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def fit(docs: DataFrame, sample: DataFrame, smoothing: float = 1.0) -> np.ndarray:
-    """The log ratio of every cell."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    summed = marked.mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInPandas(_sum, "slice int, counts binary")
-    counts = np.zeros((4 * BUCKETS // SLICE, SLICE))
+def marked(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Add target and kind (0 without a label) to the documents."""
+    base = docs.select(*[c for c in docs.columns if c not in ("target", "kind", "low")])
+    out = base.join(F.broadcast(sample.select("doc_id", "target", "kind")), "doc_id", "left")
+    return out.withColumns({"target": F.coalesce("target", F.lit(False)), "kind": F.coalesce("kind", F.lit(0))})
+
+
+def evidence(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, smoothing: float = 2.0) -> np.ndarray:
+    """How much more often toxic documents hold a cell, as a logarithm (0 for cells in none), for unlabelled, toxic and other documents, which don't count themselves."""
+    if not n_toxic or not n_other:
+        return np.zeros((3, len(toxic)), dtype=np.float32)
+    share = n_toxic / (n_toxic + n_other)
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.log((a + smoothing * share) / n_toxic) - np.log((b + smoothing * (1 - share)) / n_other)
+        return np.where(out > 1e-6, out, 0)  # a cell that nobody holds has none, whatever rounding makes of it
+
+    return np.stack([ratio(toxic, other), ratio(np.maximum(toxic - 1, 0), other), ratio(toxic, np.maximum(other - 1, 0))]).astype(np.float32)
+
+
+def fit(docs: DataFrame, sample: DataFrame, smoothing: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The log ratio of every cell, its evidence of toxicity, and what ratios without one's own n-grams need: smoothed target counts and raw logarithms."""
+    summed = marked(docs.select("doc_id", "text"), sample).select("text", "target", "kind").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInPandas(_sum, "slice int, counts binary")
+    counts = np.zeros((8 * BUCKETS // SLICE + 1, SLICE))
     for r in summed.collect():
         counts[r["slice"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    raw, target = counts.reshape(2, 2, BUCKETS)
+    tokens, held, documents = counts[: 4 * BUCKETS // SLICE], counts[4 * BUCKETS // SLICE : -1].reshape(2, 2 * BUCKETS), counts[-1]
+    raw, target = tokens.reshape(2, 2, BUCKETS)
     logs = [np.log((c + smoothing) / (c.sum(axis=1, keepdims=True) + smoothing * BUCKETS)) for c in (target, raw)]
-    return (logs[0] - logs[1]).reshape(-1).astype(np.float32)
+    return (logs[0] - logs[1]).reshape(-1).astype(np.float32), evidence(held[0], held[1], int(documents[1]), int(documents[2])), target.reshape(-1) + smoothing, logs[1].reshape(-1)
+
+
+def without_own(cells: np.ndarray, target: np.ndarray, totals: np.ndarray, raw: np.ndarray) -> float:
+    """A target document's mean log ratio by a target model that its own n-grams aren't in."""
+    cell, n = np.unique(cells, return_counts=True)
+    half = cell // BUCKETS
+    own = np.bincount(half, weights=n, minlength=2)
+    return float(((np.log(target[cell] - n) - np.log((totals - own)[half]) - raw[cell]) * n).sum() / n.sum())
+
+
+def toxicity(cells: np.ndarray, at: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """For each of n texts the sum of the TOP largest positive values of its different cells."""
+    some = np.flatnonzero(values > 0)
+    _, one = np.unique(at[some] * (2 * BUCKETS) + cells[some], return_index=True)
+    some = some[one]
+    some = some[np.lexsort((-values[some], at[some]))]
+    rank = np.arange(len(some)) - np.searchsorted(at[some], at[some])
+    some = some[rank < TOP]
+    return np.bincount(at[some], weights=values[some], minlength=n)
 
 
-def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """Add log_ratio: the mean over a document's n-grams, null without any."""
-    held = docs.sparkSession.sparkContext.broadcast(ratios)
-    base = docs.select(*[c for c in docs.columns if c != "log_ratio"])
-    schema = T.StructType([*base.schema.fields, T.StructField("log_ratio", T.DoubleType())])
+def score(docs: DataFrame, ratios: np.ndarray, tables: np.ndarray, target: np.ndarray, raw: np.ndarray, sample: DataFrame) -> DataFrame:
+    """Add log_ratio, the mean over a document's n-grams (null without any), and toxicity."""
+    held = docs.sparkSession.sparkContext.broadcast((ratios, tables, target, raw))
+    base = marked(docs.select(*[c for c in docs.columns if c not in ("log_ratio", "toxicity")]), sample)
+    schema = T.StructType([*base.schema.fields, T.StructField("log_ratio", T.DoubleType()), T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, weights = textkit.Hasher(), held.value
+        hasher, (weights, tables, target, raw) = textkit.Hasher(), held.value
+        totals = target.reshape(2, BUCKETS).sum(axis=1)
         for batch in batches:
-            means = np.full(batch.num_rows, np.nan)
+            means, toxic, kind = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows), batch.column("kind").to_numpy()
+            good = batch.column("target").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in textkit.blocks(batch.column("text")):
                 cells, at = features(hasher, data, offsets)
                 n = np.bincount(at, minlength=b - a)
                 total = np.bincount(at, weights=weights[cells], minlength=b - a)
                 means[a:b] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means, pa.float64(), from_pandas=True)], names=schema.names)
+                for i in np.flatnonzero(good[a:b] & (n > 0)):
+                    means[a + i] = without_own(cells[at == i], target, totals, raw)
+                toxic[a:b] = toxicity(cells, at, b - a, tables[kind[a:b][at], cells])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means, pa.float64(), from_pandas=True), pa.array(toxic)], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -140,10 +199,14 @@ def kth_largest(keys: DataFrame, key: str, k: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grams: float = GRAMS, keep: float = KEEP, seed: str = SEED) -> DataFrame:
     """doc_id, log_ratio, key of the documents that are kept (narrow rows; join or semi-join them to the documents)."""
     sample = shared.cut(sample_labels(labels, max_labelled))
-    scored = score(docs.select("doc_id", "text"), fit(docs, sample)).select("doc_id", "log_ratio").where("log_ratio is not null")
+    scored = score(docs.select("doc_id", "text"), *fit(docs, sample), sample).select("doc_id", "log_ratio", "toxicity").where("log_ratio is not null")
     unit = (F.abs(F.xxhash64(F.lit(seed), "doc_id") % (1 << 52)) + 0.5) / float(1 << 52)
     keyed = shared.cut(scored.withColumn("key", grams * F.col("log_ratio") - F.log(-F.log(unit))))
-    known = keyed.join(F.broadcast(sample), "doc_id").select("log_ratio", "target").limit(2 * max_labelled).collect()
-    cut = level([(r["log_ratio"], r["target"]) for r in known], keep)
+    known = keyed.join(F.broadcast(sample), "doc_id").select("log_ratio", "toxicity", "target", "kind", "low").limit(2 * max_labelled).collect()
+    most = -level([(-r["toxicity"], r["target"]) for r in known if r["target"] or r["kind"] == 1], keep)
+    if not any(r["kind"] == 1 and r["toxicity"] > most for r in known):
+        most = float("inf")
+    keyed = keyed.where(F.col("toxicity") <= F.lit(most)).drop("toxicity")
+    cut = level([(r["log_ratio"], r["target"]) for r in known if (r["target"] or r["low"]) and r["toxicity"] <= most], keep)
     k = keyed.where(F.col("log_ratio") >= F.lit(cut)).count()
     return keyed.where(F.col("key") >= F.lit(kth_largest(keyed, "key", k)))
