@@ -150,5 +150,18 @@ def test_mixing_of_buckets(spark, monkeypatch):
     assert sorted(mixing.allocate(other).collect()) == one
 
 
+def test_query_rows_come_in_training_order(spark, tmp_path):
+    from veriloom.llm.queries import op10_mixing
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice("abc")) for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = {r.doc_id: min(r.positions, default=2.0) for r in mixing.allocate(docs).collect()}
+    got = op10_mixing(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert [r.doc_id for r in got.collect()] == sorted(first, key=lambda i: (first[i], i))
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -103,3 +103,11 @@ def curriculum(plan: DataFrame) -> DataFrame:
     rows = plan.select("doc_id", "source", "size", F.posexplode("positions").alias("copy", "position"))
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def in_training_order(plan: DataFrame) -> DataFrame:
+    """The plan with first_position (where a document's first copy stands; null: not taken), range-sorted by it, those not taken last."""
+    rows = plan.withColumn("first_position", F.array_min("positions"))
+    order = [F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order)

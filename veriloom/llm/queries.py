@@ -92,9 +92,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan of each document; first_position is where its first copy stands in training (null: not taken)."""
+    """The plan of each document, in the order in which the first copies stand in training (those not taken last).
+
+    The columns are the SQL's; the positions themselves are `mixing.allocate`'s, and `mixing.curriculum` has a row for each copy.
+    """
     plan = mixing.allocate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.in_training_order(plan).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
