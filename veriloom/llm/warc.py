@@ -1,7 +1,7 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are put in page order: page ids are cut into ranges of about `shard_bytes` of payload (the splitters come from a histogram
-of at most BINS sums), every range is one shard, sorted, and written by one task.  A shard's file is closed when its
+Records are put in page order: page ids are cut into ranges of about `shard_bytes` of payload (the splitters come from exact sums over at
+most BINS cells of ids, refined where they are larger than a shard), every range is one shard, sorted, and written by one task.  A shard's file is closed when its
 compressed size reaches `roll_bytes`.  Headers, record ids and digests are made anew from the rows, the date is a parameter, and
 every record is a gzip member of its own, so the same rows give the same bytes, however tasks are retried.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import posixpath
 import urllib.parse
 import uuid
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from veriloom.llm import shared
 
-BINS = 65536
+#: Cells of page ids whose sums the driver sees at once; there are at most an eighth as many shards, which get larger beyond that.
+BINS = 1 << 18
+STRIDE = 128
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 4 << 20
 REVISIT_FROM = 1000
@@ -157,17 +160,30 @@ def _writer(root: str, roll_bytes: int, date: str):
     return run
 
 
-def splitters(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """First page ids of all shards but the first: exact sums over at most BINS equal ranges of ids, cut at about shard_bytes."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+def splitters(narrow: DataFrame, shard_bytes: int, bins: int = BINS) -> list[int]:
+    """First page ids of all shards but the first.  narrow: page_id (no nulls), n (bytes); total bytes of a shard are about shard_bytes.
+
+    Sums over at most `bins` cells of ids (ids shifted right, so nothing overflows) are exact; a cell that is larger than a shard is cut into
+    cells of its own in another pass, until a shard's size or a single id is reached.  So ids far from all others cost a pass, not balance.
+    """
+    low, high, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
     if low is None:
         return []
-    width = max(1, -(-(high - low + 1) // BINS))
-    bins = pages.groupBy(F.expr(f"(page_id - {low}L) div {width}L").alias("bin")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("n"))
+    limit = max(shard_bytes, -(-total * 8 // bins))
+    shift = max(0, ((high >> 1) - (low >> 1)).bit_length() + 1 - (bins.bit_length() - 2))
+    cell = lambda s: F.shiftright("page_id", s)
+    count = lambda rows, s: [(r["cell"] << s, r["n"]) for r in rows.groupBy(cell(s).alias("cell")).agg(F.sum("n").alias("n")).collect()]
+    cells = count(narrow, shift)
+    while shift and (heavy := {a for a, n in cells if n > limit}):
+        finer = max(0, shift - max(1, (bins // len(heavy)).bit_length() - 1))
+        large = narrow.sparkSession.createDataFrame([(a >> shift,) for a in heavy], "cell long")
+        inside = narrow.join(F.broadcast(large), cell(shift) == F.col("cell"), "left_semi")
+        cells = [c for c in cells if c[0] not in heavy] + count(inside, finer)
+        shift = finer
     cuts, size = [], 0
-    for b, n in sorted((r["bin"], r["n"]) for r in bins.where("bin is not null").collect()):
-        if size and size + n > shard_bytes:
-            cuts.append(low + b * width)
+    for first, n in sorted(cells):
+        if size and size + n > limit:
+            cuts.append(max(first, low))
             size = 0
         size += n
     return cuts
@@ -176,34 +192,37 @@ def splitters(pages: DataFrame, shard_bytes: int) -> list[int]:
 def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, revisit_from: int = REVISIT_FROM, date: str = DATE) -> DataFrame:
     """Write page_id, url, html as WARC files under root/data and return the manifest that was written to root/manifest."""
     spark = pages.sparkSession
-    html = F.coalesce("html", F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("key"))
-    long = keyed.where(F.octet_length("html") >= revisit_from).select("page_id", "key")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    keyed = keyed.select("*", F.sha2("html", 256).alias("key"))
+    narrow = shared.table(keyed.select("page_id", "key", F.octet_length("html").cast("long").alias("n")), "warc-sizes")
+    long = narrow.where(F.col("n") >= revisit_from).select("page_id", "key")
     largest = long.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("key", "refers_to")
     marks = long.join(largest, "key").where("page_id is null or page_id < refers_to").select("page_id", "key", "refers_to")
     none = lambda kind: F.lit(None).cast(kind)
     rows = marks.select("page_id", "key", F.lit(0).alias("tag"), "refers_to", none("string").alias("url"), none("string").alias("html"))
     rows = rows.unionByName(keyed.select("page_id", "key", F.lit(1).alias("tag"), none("long").alias("refers_to"), "url", "html"))
-    cuts = splitters(keyed, shard_bytes)
-    shard = F.coalesce(_upper_bound(cuts), F.lit(0)).cast("long")
-    rows = rows.withColumn("shard", shard).repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "key", "tag")
+    cuts = splitters(narrow.where("page_id is not null"), shard_bytes)
+    # rows without an id come first, in as many shards as their bytes need, by their payload
+    unnamed = -(-(narrow.where("page_id is null").agg(F.sum("n")).first()[0] or 0) // shard_bytes) or 1
+    unnamed = min(unnamed, BINS)
+    of_null = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(unnamed))
+    shard = F.when(F.col("page_id").isNull(), of_null).otherwise(_upper_bound(cuts) + (unnamed - 1)).cast("long")
+    rows = rows.withColumn("shard", shard).repartitionByRange(len(cuts) + unnamed, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "key", "tag", "url")
     rows.mapInArrow(_writer(root, roll_bytes, date), MANIFEST).write.parquet(f"{root}/manifest")
+    shared.drop(narrow)
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
 def _upper_bound(cuts: list[int]) -> F.Column:
-    """How many cuts are at most page_id, by a binary search written as nested conditions."""
-
-    def search(a: int, b: int) -> F.Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(F.col("page_id") < cuts[m], search(a, m)).otherwise(search(m + 1, b))
-
-    if len(cuts) <= 512:
-        return F.when(F.col("page_id").isNotNull(), search(0, len(cuts)))
-    held = F.lit(cuts)
-    return F.size(F.filter(held, lambda c: c <= F.col("page_id")))
+    """How many cuts are at most page_id: first among every STRIDE-th one, then among those that follow it."""
+    if not cuts:
+        return F.lit(0)
+    upto = lambda held: F.size(F.filter(held, lambda c: c <= F.col("page_id")))
+    array = lambda values: F.from_json(F.lit(json.dumps(values)), "array<long>")  # noqa: E731  one literal, once folded
+    if len(cuts) <= STRIDE:
+        return upto(array(cuts))
+    whole = upto(array(cuts[STRIDE - 1 :: STRIDE])) * STRIDE
+    return whole + upto(F.slice(array(cuts), whole + 1, F.lit(STRIDE)))
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
