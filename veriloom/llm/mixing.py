@@ -30,17 +30,21 @@ def _cycle(values: tuple, rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(rank - 1, F.lit(len(values))).cast("int") + 1)
 
 
-def _knots(schedule: tuple) -> Column:
-    """Segments of a schedule: start, length, weights at both ends, and share of the whole area before and in the segment."""
+def segments(schedule: tuple) -> list[dict[str, float]]:
+    """Of each segment of a schedule: start t, length n, weights a and b at its ends, and the share of the whole area before (lo) and up to its end (hi)."""
     pieces = [(a[0], b[0] - a[0], a[1], b[1], (b[0] - a[0]) * (a[1] + b[1]) / 2) for a, b in zip(schedule, schedule[1:], strict=False)]
     total, before, out = sum(p[4] for p in pieces), 0.0, []
     for start, length, wa, wb, area in pieces:
-        out.append(F.struct(F.lit(start).alias("t"), F.lit(length).alias("n"), F.lit(wa / total).alias("a"), F.lit(wb / total).alias("b"), F.lit(before).alias("lo"), F.lit(before + area / total).alias("hi")))
+        out.append({"t": start, "n": length, "a": wa / total, "b": wb / total, "lo": before, "hi": before + area / total})
         before += area / total
-    return F.array(*out)
+    return out
+
+
+def _knots(schedule: tuple) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in segments(schedule)])
 
 
-def position(share: Column, segments: Column) -> Column:
+def position(share: Column, knots: Column) -> Column:
     """The progress at which `share` of a source's demand is met: the schedule's integral inverted (a quadratic in each segment)."""
 
     def solve(s: Column) -> Column:
@@ -49,7 +53,7 @@ def position(share: Column, segments: Column) -> Column:
         root = F.sqrt(F.greatest(s["a"] * s["a"] + 2 * slope * rest, F.lit(0.0)))
         return s["t"] + F.when(s["a"] + root > 0, 2 * rest / (s["a"] + root)).otherwise(F.lit(0.0))
 
-    into = F.filter(segments, lambda s: (share <= s["hi"]) | (s["t"] + s["n"] >= 1.0))
+    into = F.filter(knots, lambda s: (share <= s["hi"]) | (s["t"] + s["n"] >= 1.0))
     return F.least(solve(F.element_at(into, 1)), F.lit(1.0))
 
 
@@ -80,8 +84,8 @@ def allocate(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     sized = sized.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = shared.cut(sized)  # narrow rows, read three times below; the texts are read once
     stats = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, cap)
-    segments = F.array(*[_knots(s) for s in schedules])
-    stats = stats.withColumn("segments", F.element_at(segments, F.pmod(F.col("rank") - 1, F.lit(len(schedules))) + 1)).withColumn("buckets", F.ceil(F.col("docs") / BUCKET_ROWS))
+    knots = F.array(*[_knots(s) for s in schedules])
+    stats = stats.withColumn("segments", F.element_at(knots, F.pmod(F.col("rank") - 1, F.lit(len(schedules))) + 1)).withColumn("buckets", F.ceil(F.col("docs") / BUCKET_ROWS))
     same = lambda a, b, *more: [a[c].eqNullSafe(b[c]) for c in ("source", *more)]
     rows = sized.join(stats, same(sized, stats)).select(sized["*"], "source_size", "target", "segments", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") * F.col("buckets") / 4294967296.0).alias("bucket"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))

@@ -92,12 +92,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan of each document, in the order in which the first copies stand in training (those not taken last).
-
-    The columns are the SQL's; the positions themselves are `mixing.allocate`'s, and `mixing.curriculum` has a row for each copy.
-    """
+    """The plan of each document, range-sorted by the position of its first copy in training (those not taken last); `mixing.curriculum` has a row for each copy."""
     plan = mixing.allocate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return mixing.in_training_order(plan).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.in_training_order(plan).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position", F.array_max("positions").alias("last_position"))
+
+
+def _position_sql(share: str) -> str:
+    """The schedules' integrals inverted, as `mixing.position` does it: one branch for each segment of each schedule."""
+    solved = lambda s: f"{s['t']!r}::double + 2.0::double * {rest(s)} / ({s['a']!r}::double + {root(s)})"
+    rest = lambda s: f"least(greatest({share} - {s['lo']!r}::double, 0.0::double), {s['hi'] - s['lo']!r}::double)"
+    root = lambda s: f"sqrt(greatest({s['a'] * s['a']!r}::double + {2 * ((s['b'] - s['a']) / s['n'])!r}::double * {rest(s)}, 0.0::double))"
+    out = []
+    for i, schedule in enumerate(mixing.SCHEDULES):
+        segments = mixing.segments(schedule)
+        for s in segments:
+            last = "" if s is segments[-1] else f" and {share} <= {s['hi']!r}::double"
+            out.append(f"when (rank - 1) % {len(mixing.SCHEDULES)} = {i}{last} then least({solved(s)}, 1.0::double)")
+    return f"case {' '.join(out)} end"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -149,12 +160,15 @@ ORACLE: dict[str, str] = {
         l as (select *, (sum(source_size) over () - sum(cap) over (order by cap / weight, rank rows unbounded preceding) + cap)::double
                 / (sum(weight) over (order by cap / weight, rank rows between current row and unbounded following))::double as level from w),
         t as (select *, least(cap::double, weight * first_value(level) over (order by case when level * weight <= cap then 0 else 1 end, cap / weight, rank)) as target from l),
-        p as (select doc_id, size, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes,
+        p as (select doc_id, size, source_size, target, rank, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes,
                 sum(size) over (partition by d.source order by h, doc_id, size rows unbounded preceding) - size as start
-              from d join t on d.source is not distinct from t.source)
-        select doc_id, size, source_size, target,
-          cast(case when size > 0 then size * (passes + case when start + size / 2.0 <= target - passes * source_size and passes < 3 then 1 else 0 end) else 0 end as bigint) as taken
-        from p""",
+              from d join t on d.source is not distinct from t.source),
+        c as (select *, cast(case when size > 0 then passes + case when start + size / 2.0 <= target - passes * source_size and passes < 3 then 1 else 0 end else 0 end as int) as copies from p),
+        m as (select *, case when copies > 0 then least((0.0::double + start::double + size::double / 2.0::double) / target, 1.0::double) end as one,
+                case when copies > 0 then least(((copies - 1)::double * source_size::double + start::double + size::double / 2.0::double) / target, 1.0::double) end as last from c)
+        select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, copies, case when copies > 0 then """ + _position_sql("one") + """ end as first_position,
+          case when copies > 0 then """ + _position_sql("last") + """ end as last_position
+        from m""",
     "op7_chat_format": r"""
         with t as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
