@@ -16,8 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
-    kept = quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    return quality.kept(docs, quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

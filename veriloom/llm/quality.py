@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Word unigrams and bigrams are hashed into two tables of BUCKETS cells.  The raw model counts all documents; the target model those
-of a bounded sample of labelled rows (at most `max_labelled`, the first by a hash of the id) of good quality that aren't toxic.  A document's
-log ratio is the mean over its n-grams of log p_target - log p_raw; its importance weight is that ratio to the power `grams`,
-as though every document had so many n-grams, since sums would favour length.  Adding Gumbel noise to the log weights and keeping the k
-largest samples k documents without replacement by weight.  k is the number of documents, out of all, whose log ratio reaches the
-level that separates the labelled sample best while `keep` of its good documents pass.
+of a bounded sample of labelled rows (at most `max_labelled`, the first by a hash of the id) of good quality that aren't toxic.  Both models
+have PRIOR counts more in every cell, after the raw one is scaled to the target's size.  A document's log weight is the sum over its n-grams of
+log p_target - log p_raw: the importance ratio of the whole document.  Adding standard Gumbel noise to the log weights and keeping the k
+largest samples k documents without replacement, each draw in proportion to the weights.  k is a parameter; where it isn't given it is the number of
+documents, out of all, whose log weight reaches the level that separates the labelled sample best while `keep` of its good documents pass, so
+the noise decides among the documents around that level, and two seeds keep different ones of them.
 
 Toxic documents are mostly ordinary prose, so no mean finds them: they have a ratio of their own, of how many toxic and how many other
 labelled documents hold an n-gram.  The sum of a document's TOP largest positive ones is its toxicity, and those beyond the level that
@@ -16,8 +17,8 @@ What reaches the driver is bounded: 8 * BUCKETS counts and a few, the labelled s
 
 Defined results: null texts and texts without words have no n-grams and are rejected; without labels of both kinds nothing else is, and without toxic labels nothing is toxic;
 a null toxic label counts as not toxic;
-noise depends on (seed, id) only, so reruns agree, and repeated rows share their fate; rows tied with the k-th key stay;
-extra columns pass through unless named like the added ones; an empty table gives an empty result.
+noise depends on (seed, id) only, for a null id on the text, so reruns agree, and repeated rows share their fate; rows tied with the k-th key stay;
+ids that two texts share are two documents, told apart by text_hash; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veriloom.llm import shared, textkit
 
@@ -36,7 +36,7 @@ BITS = 17
 BUCKETS = 1 << BITS
 SLICE = 1 << 12
 MAX_LABELLED = 50_000
-GRAMS = 1000.0
+PRIOR = 60.0
 KEEP = 0.99
 TOP = 3
 BINS = 65536
@@ -107,24 +107,21 @@ def evidence(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, s
     return np.stack([ratio(toxic, other), ratio(np.maximum(toxic - 1, 0), other), ratio(toxic, np.maximum(other - 1, 0))]).astype(np.float32)
 
 
-def fit(docs: DataFrame, sample: DataFrame, smoothing: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The log ratio of every cell, its evidence of toxicity, and what ratios without one's own n-grams need: smoothed target counts and raw logarithms."""
+def fit(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of all documents and of target ones (unigrams, then bigrams), and the evidence of toxicity, of every cell."""
     summed = marked(docs.select("doc_id", "text"), sample).select("text", "target", "kind").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInPandas(_sum, "slice int, counts binary")
     counts = np.zeros((8 * BUCKETS // SLICE + 1, SLICE))
     for r in summed.collect():
         counts[r["slice"]] = np.frombuffer(r["counts"], dtype=np.int64)
     tokens, held, documents = counts[: 4 * BUCKETS // SLICE], counts[4 * BUCKETS // SLICE : -1].reshape(2, 2 * BUCKETS), counts[-1]
-    raw, target = tokens.reshape(2, 2, BUCKETS)
-    logs = [np.log((c + smoothing) / (c.sum(axis=1, keepdims=True) + smoothing * BUCKETS)) for c in (target, raw)]
-    return (logs[0] - logs[1]).reshape(-1).astype(np.float32), evidence(held[0], held[1], int(documents[1]), int(documents[2])), target.reshape(-1) + smoothing, logs[1].reshape(-1)
+    raw, target = tokens.reshape(2, 2 * BUCKETS)
+    return raw, target, evidence(held[0], held[1], int(documents[1]), int(documents[2]))
 
 
-def without_own(cells: np.ndarray, target: np.ndarray, totals: np.ndarray, raw: np.ndarray) -> float:
-    """A target document's mean log ratio by a target model that its own n-grams aren't in."""
-    cell, n = np.unique(cells, return_counts=True)
-    half = cell // BUCKETS
-    own = np.bincount(half, weights=n, minlength=2)
-    return float(((np.log(target[cell] - n) - np.log((totals - own)[half]) - raw[cell]) * n).sum() / n.sum())
+def log_ratio(raw: np.ndarray, target: np.ndarray, totals: tuple[np.ndarray, np.ndarray], half: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log p_target - log p_raw of cells with these counts.  totals: all n-grams of the raw and the target model, by half (unigrams, bigrams)."""
+    scale = totals[1] / np.maximum(totals[0], 1)
+    return np.log((target + prior) / (raw * scale[half] + prior))
 
 
 def toxicity(cells: np.ndarray, at: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
@@ -138,33 +135,36 @@ def toxicity(cells: np.ndarray, at: np.ndarray, n: int, values: np.ndarray) -> n
     return np.bincount(at[some], weights=values[some], minlength=n)
 
 
-def score(docs: DataFrame, ratios: np.ndarray, tables: np.ndarray, target: np.ndarray, raw: np.ndarray, sample: DataFrame) -> DataFrame:
-    """Add log_ratio, the mean over a document's n-grams (null without any), and toxicity."""
-    held = docs.sparkSession.sparkContext.broadcast((ratios, tables, target, raw))
-    base = marked(docs.select(*[c for c in docs.columns if c not in ("log_ratio", "toxicity")]), sample)
-    schema = T.StructType([*base.schema.fields, T.StructField("log_ratio", T.DoubleType()), T.StructField("toxicity", T.DoubleType())])
+def score(docs: DataFrame, raw: np.ndarray, target: np.ndarray, toxic: np.ndarray, sample: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """doc_id, text_hash, log_weight (null without n-grams; a target document's own n-grams don't count in the target model) and toxicity."""
+    held = docs.sparkSession.sparkContext.broadcast((raw, target, toxic))
+    base = marked(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (weights, tables, target, raw) = textkit.Hasher(), held.value
-        totals = target.reshape(2, BUCKETS).sum(axis=1)
+        hasher, (raw, target, tables) = textkit.Hasher(), held.value
+        totals = raw.reshape(2, BUCKETS).sum(axis=1), target.reshape(2, BUCKETS).sum(axis=1)
+        halves = np.repeat(np.arange(2), BUCKETS)
+        weights = log_ratio(raw, target, totals, halves, prior)
         for batch in batches:
-            means, toxic, kind = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows), batch.column("kind").to_numpy()
+            sums, toxic, kind = np.full(batch.num_rows, np.nan), np.zeros(batch.num_rows), batch.column("kind").to_numpy()
             good = batch.column("target").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in textkit.blocks(batch.column("text")):
                 cells, at = features(hasher, data, offsets)
                 n = np.bincount(at, minlength=b - a)
-                total = np.bincount(at, weights=weights[cells], minlength=b - a)
-                means[a:b] = np.where(n > 0, total / np.maximum(n, 1), np.nan)
+                sums[a:b] = np.where(n > 0, np.bincount(at, weights=weights[cells], minlength=b - a), np.nan)
                 for i in np.flatnonzero(good[a:b] & (n > 0)):
-                    means[a + i] = without_own(cells[at == i], target, totals, raw)
+                    cell, times = np.unique(cells[at == i], return_counts=True)
+                    own = np.bincount(halves[cell], weights=times, minlength=2)
+                    sums[a + i] = (log_ratio(raw[cell], target[cell] - times, (totals[0], totals[1] - own), halves[cell], prior) * times).sum()
                 toxic[a:b] = toxicity(cells, at, b - a, tables[kind[a:b][at], cells])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means, pa.float64(), from_pandas=True), pa.array(toxic)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sums, pa.float64(), from_pandas=True), pa.array(toxic)], names=["doc_id", "text_hash", "log_weight", "toxicity"])
 
-    return base.mapInArrow(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return base.mapInArrow(run, f"doc_id {kind}, text_hash long, log_weight double, toxicity double")
 
 
 def level(sample: list[tuple[float, bool]], keep: float = KEEP) -> float:
-    """The log ratio that splits labelled rows with the best balanced accuracy among those that let `keep` of the good ones pass."""
+    """The value that splits labelled rows with the best balanced accuracy among those that let `keep` of the good ones pass."""
     values = np.array([s for s, _ in sample], dtype=float)
     good = np.array([g for _, g in sample], dtype=bool)
     if not good.any() or good.all():
@@ -196,17 +196,35 @@ def kth_largest(keys: DataFrame, key: str, k: int) -> float:
     return float("-inf") if low is None else low
 
 
-def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grams: float = GRAMS, keep: float = KEEP, seed: str = SEED) -> DataFrame:
-    """doc_id, log_ratio, key of the documents that are kept (narrow rows; join or semi-join them to the documents)."""
+def keyed(scored: DataFrame, seed: str = SEED) -> DataFrame:
+    """Add key: the log weight with standard Gumbel noise."""
+    told = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    unit = (F.abs(F.xxhash64(F.lit(seed), "doc_id", told) % (1 << 52)) + 0.5) / float(1 << 52)
+    return scored.withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
+
+
+def gumbel_top(rows: DataFrame, k: int) -> DataFrame:
+    """The k rows of the largest keys, and those tied with the last of them."""
+    return rows.where(F.col("key") >= F.lit(kth_largest(rows, "key", k)))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labelled: int = MAX_LABELLED, prior: float = PRIOR, keep: float = KEEP, seed: str = SEED) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), log_weight, key of the documents that are kept (narrow rows; semi-join the documents with them)."""
     sample = shared.cut(sample_labels(labels, max_labelled))
-    scored = score(docs.select("doc_id", "text"), *fit(docs, sample), sample).select("doc_id", "log_ratio", "toxicity").where("log_ratio is not null")
-    unit = (F.abs(F.xxhash64(F.lit(seed), "doc_id") % (1 << 52)) + 0.5) / float(1 << 52)
-    keyed = shared.cut(scored.withColumn("key", grams * F.col("log_ratio") - F.log(-F.log(unit))))
-    known = keyed.join(F.broadcast(sample), "doc_id").select("log_ratio", "toxicity", "target", "kind", "low").limit(2 * max_labelled).collect()
+    scored = score(docs, *fit(docs, sample), sample, prior).where("log_weight is not null")
+    rows = shared.cut(keyed(scored, seed))
+    known = rows.join(F.broadcast(sample), "doc_id").select("log_weight", "toxicity", "target", "kind", "low").limit(2 * max_labelled).collect()
     most = -level([(-r["toxicity"], r["target"]) for r in known if r["target"] or r["kind"] == 1], keep)
     if not any(r["kind"] == 1 and r["toxicity"] > most for r in known):
         most = float("inf")
-    keyed = keyed.where(F.col("toxicity") <= F.lit(most)).drop("toxicity")
-    cut = level([(r["log_ratio"], r["target"]) for r in known if (r["target"] or r["low"]) and r["toxicity"] <= most], keep)
-    k = keyed.where(F.col("log_ratio") >= F.lit(cut)).count()
-    return keyed.where(F.col("key") >= F.lit(kth_largest(keyed, "key", k)))
+    rows = rows.where(F.col("toxicity") <= F.lit(most)).drop("toxicity")
+    if k is None:
+        cut = level([(r["log_weight"], r["target"]) for r in known if (r["target"] or r["low"]) and r["toxicity"] <= most], keep)
+        k = rows.where(F.col("log_weight") >= F.lit(cut)).count()
+    return gumbel_top(rows, k)
+
+
+def kept(docs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """The documents that were sampled, whole rows, those without an id too."""
+    mine, theirs = docs.withColumn("__hash", F.xxhash64("text")), sampled.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
+    return mine.join(theirs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_semi").drop("__hash")

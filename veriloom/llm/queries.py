@@ -86,9 +86,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the resampling keeps."""
+    """The documents that the resampling keeps, with their log weights and keys."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "log_weight", "key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
