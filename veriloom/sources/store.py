@@ -6,26 +6,49 @@ serial (one ingest at a time), its readers see whole files.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {"double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "map": T.MapType(T.StringType(), T.StringType())}
 FACT_SCHEMA = T.StructType(
     [
-        T.StructField(name, _TYPES.get(kind, T.StringType()))
-        for name, _, kind in (
-            column.partition(":")
-            for column in (
-                "id text fact_type value_num:double value_str value_bool:boolean value_text unit context:map entity time_period scope source_document "
-                "source_page:int chunk_no:int ordinal:int source_snippet tier confidence:double extraction_method created_at:timestamp"
-            ).split()
-        )
+        T.StructField("id", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("fact_type", T.StringType()),
+        T.StructField("value_num", T.DoubleType()),
+        T.StructField("value_str", T.StringType()),
+        T.StructField("value_bool", T.BooleanType()),
+        T.StructField("value_text", T.StringType()),
+        T.StructField("unit", T.StringType()),
+        T.StructField("context", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("entity", T.StringType()),
+        T.StructField("time_period", T.StringType()),
+        T.StructField("scope", T.StringType()),
+        T.StructField("source_document", T.StringType()),
+        T.StructField("source_page", T.IntegerType()),
+        T.StructField("chunk_no", T.IntegerType()),
+        T.StructField("ordinal", T.IntegerType()),
+        T.StructField("source_snippet", T.StringType()),
+        T.StructField("tier", T.StringType()),
+        T.StructField("confidence", T.DoubleType()),
+        T.StructField("extraction_method", T.StringType()),
+        T.StructField("created_at", T.TimestampType()),
     ]
 )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; only on one machine may it be unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='veriloom-')).rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def iso(timestamp: str) -> F.Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -69,7 +92,11 @@ class FactStore:
 
 
 class ExtractionCache:
-    """Facts by content hash and configuration signature, so that bytes seen before under any name need no model."""
+    """Facts by content hash and configuration signature, so that bytes seen before under any name need no model.
+
+    A content is stored once, whatever names it has; a fact's id is made anew for each name from the name, the content and the fact's place
+    in it, so twins and later copies have all their facts under ids of their own, in whatever order they come.
+    """
 
     def __init__(self, spark: SparkSession, path: str, signature: str):
         self.spark, self.path, self.signature = spark, path, signature
@@ -83,14 +110,15 @@ class ExtractionCache:
 
     def hits(self, documents: DataFrame) -> DataFrame:
         """Cached facts of documents (source_document, content_sha16), under the names that these now have."""
-        names = documents.select("content_sha16", F.col("source_document").alias("__name"))
-        found = self._all().join(names, "content_sha16").where("id is not null")
-        return found.withColumn("source_document", F.col("__name")).select(*[f.name for f in FACT_SCHEMA.fields])
+        names = documents.select("content_sha16", F.col("source_document").alias("__name")).distinct()
+        found = self._all().join(names, "content_sha16").where("id is not null").withColumn("source_document", F.col("__name"))
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_document", "content_sha16", "source_page", "chunk_no", "ordinal", "text", "source_snippet")]
+        return found.withColumn("id", F.sha2(F.concat_ws("\u0001", *parts), 256)).select(*[f.name for f in FACT_SCHEMA.fields])
 
     def misses(self, documents: DataFrame) -> DataFrame:
         return documents.join(self._all().select("content_sha16").distinct(), "content_sha16", "left_anti")
 
-    def put(self, documents: DataFrame, facts: DataFrame) -> None:
-        """Store the facts of documents; one without facts is kept as a row with a null id, so that it is a hit next time."""
-        rows = documents.select("content_sha16", "source_document").join(facts.select(*[f.name for f in FACT_SCHEMA.fields]), "source_document", "left")
+    def put(self, contents: DataFrame, facts: DataFrame) -> None:
+        """Store the facts (with content_sha16) of contents; one without facts is kept as a row with a null id, so that it is a hit next time."""
+        rows = contents.select("content_sha16").distinct().join(facts.select("content_sha16", *[f.name for f in FACT_SCHEMA.fields]), "content_sha16", "left")
         rows.withColumn("signature", F.lit(self.signature)).write.mode("append").partitionBy("signature").parquet(self.path)
