@@ -18,7 +18,7 @@ from veriloom.functions.text import content_hash, jaccard, normalize, strip, tok
 from veriloom.operators import build, chunking, dedup, grounding, layout, pairs, quality, rules
 from veriloom.plans import engine
 from veriloom.sources import pages as page_source
-from veriloom.sources.store import new_rows
+from veriloom.sources.store import FACT_SCHEMA, ExtractionCache, FactStore, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -318,7 +318,29 @@ def dedup_fuzzy(spark, sf_dir):
     return dedup.deduplicate(facts).select("id", "source_page", "ordinal")
 
 
-@query()
+def _common_sql(a: str, b: str) -> str:
+    """Length of a longest common subsequence of two columns of fewer than 120 characters, a bit for each character of the first."""
+    bits = f"coalesce(list_sum(list_transform(list_filter(generate_series(1, length({a})), lambda i: substr({a}, i::int, 1) = c), lambda i: pow(2, i - 1)::hugeint)), 0)::hugeint"
+    letters = f"list_transform(list_filter(string_split({b}, ''), lambda c: c <> ''), lambda c: {bits})"
+    full = f"(pow(2, length({a}))::hugeint - 1)"
+    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {letters}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def _similarity_sql(rows: str) -> str:
+    """rows with columns a and b, and indel and token_set."""
+    return f"""
+        select *, case when x = [] or y = [] then 0.0::double when both_ <> '' and (left_ = '' or right_ = '') then 100.0::double
+            else greatest(100.0::double * (1 - (length(left_) + length(right_) - 2 * {_common_sql('left_', 'right_')})::double / (one + two)),
+              case when both_ <> '' then 100.0::double * (1 - (length(left_) + 1)::double / (length(both_) + one)) else 0 end,
+              case when both_ <> '' then 100.0::double * (1 - (length(right_) + 1)::double / (length(both_) + two)) else 0 end) end as token_set,
+          case when a = '' and b = '' then 100.0::double else 200.0::double * {_common_sql('a', 'b')} / (length(a) + length(b)) end as indel
+        from (select *, length(both_) + (both_ <> '')::int + length(left_) as one, length(both_) + (both_ <> '')::int + length(right_) as two
+          from (select *, array_to_string(list_sort(list_filter(x, lambda t: list_contains(y, t))), ' ') as both_, array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ' ') as left_,
+              array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ' ') as right_
+            from (select *, list_distinct(list_filter(string_split(a, ' '), lambda t: t <> '')) as x, list_distinct(list_filter(string_split(b, ' '), lambda t: t <> '')) as y from ({rows}))))"""
+
+
+@query(f"select p_partkey, indel, indel as indel_udf, token_set from ({_similarity_sql("select p_partkey, lower(p_name) as a, lower(concat_ws(' ', string_split(p_name, ' ')[2], p_type)) as b from part")})")
 def similarity_scores(spark, sf_dir):
     """Indel ratio (as an expression and as a UDF) and token set ratio of part names against their type."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", F.split("p_name", " ")[1], "p_type")).alias("b"))
@@ -353,6 +375,31 @@ def candidate_gates(spark, sf_dir):
     return pairs.candidate_pairs(facts, EngineConf()).select(F.col("f1.id").alias("id1"), F.col("f2.id").alias("id2"), "gate")
 
 
+OWNERS_SQL = "select p_brand || ' ' || p_type as entity, 'doc ' || (p_partkey % 7) as d from part"
+ENTITIES_SQL = f"select lower(entity) as entity, count(*) as n_facts, count(distinct d) as n_documents from ({OWNERS_SQL}) group by 1"
+
+
+def owner_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a fact about the owner of its brand and type: few entities, each of many facts."""
+    rows = table(spark, sf_dir, "part")
+    return rows.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text"), F.concat(F.lit("doc "), (F.col("p_partkey") % 7).cast("string")).alias("source_document"), F.concat_ws(" ", "p_brand", "p_type").alias("entity"))
+
+
+@query(ENTITIES_SQL)
+def entity_classes(spark, sf_dir):
+    """The classes that the entity gate joins whole, with their facts and documents counted."""
+    return pairs.entities(owner_facts(spark, sf_dir))
+
+
+@query(f"""
+    with e as ({ENTITIES_SQL}), s as ({_similarity_sql("select x.entity as a, y.entity as b from e x join e y on x.entity < y.entity")})
+    select a as entity1, b as entity2, token_set as score from s where token_set >= 80
+    union all select entity, entity, 100.0::double from e""")
+def entity_links(spark, sf_dir):
+    """Which classes are alike enough: with the classes' members, all that the entity gate lets through."""
+    return pairs.entity_links(pairs.entities(owner_facts(spark, sf_dir)), EngineConf().entity_score)
+
+
 def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.floor(F.col("s_acctbal") / 100).cast("double").alias("value_num"), F.when(F.col("s_nationkey") % 3 > 0, F.concat(F.lit(" U"), (F.col("s_nationkey") % 3).cast("string"))).alias("unit"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("source_document"), F.col("s_suppkey").cast("int").alias("source_page"))
 
@@ -520,9 +567,14 @@ def facts_by_document(spark, sf_dir):
     return claim_facts(spark, sf_dir).where("source_document = 'src3'").groupBy("source_document").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select count(*) as total_facts, count(distinct source) as total_documents, array_to_string(list_sort(list(distinct source)), ',') as documents, count(*) filter ({FACT_KEYS} = 'numeric') as numeric, count(*) filter ({FACT_KEYS} = 'semantic') as semantic from {CLAIMS_SQL}")
+@query(f"select count(*) as total_facts, count(distinct source) as total_documents, count(*) filter ({FACT_KEYS} = 'numeric') as numeric, count(*) filter ({FACT_KEYS} = 'semantic') as semantic from {CLAIMS_SQL}")
 def stats_summary(spark, sf_dir):
-    return engine.stats(claim_facts(spark, sf_dir)).withColumn("documents", F.array_join("documents", ","))
+    return engine.stats(claim_facts(spark, sf_dir))
+
+
+@query(f"select source as source_document, count(*) as facts from {CLAIMS_SQL} group by 1")
+def document_counts(spark, sf_dir):
+    return engine.document_counts(claim_facts(spark, sf_dir))
 
 
 @query(f"select {FACT_KEYS} as fact_type, count(*) as n from {CLAIMS_SQL} group by 1")
@@ -530,18 +582,36 @@ def fact_type_counts(spark, sf_dir):
     return claim_facts(spark, sf_dir).groupBy("fact_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select substr(sha256(text), 1, 16) as id, min(doc_id) as doc_id from documents where doc_id % 3 <> 0 and substr(sha256(text), 1, 16) not in (select substr(sha256(text), 1, 16) from documents where doc_id % 3 = 0) group by 1")
-def idempotent_append(spark, sf_dir):
-    """What an append adds when a third of the documents is stored and the rest comes."""
-    rows = table(spark, sf_dir, "documents").select(content_hash(F.col("text")).alias("id"), "doc_id")
-    batch = rows.where("doc_id % 3 <> 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    return new_rows(batch, rows.where("doc_id % 3 = 0"))
+def _facts_of(rows: DataFrame) -> DataFrame:
+    """Documents as facts of the store's schema: a content is an id."""
+    have = {"id": content_hash(F.col("text")), "text": F.substring("text", 1, 80), "source_document": F.col("source"), "source_page": F.col("doc_id").cast("int")}
+    return rows.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FACT_SCHEMA.fields])
 
 
-@query("select doc_id from documents where doc_id % 2 = 1 and substr(sha256(text), 1, 16) not in (select substr(sha256(text), 1, 16) from documents where doc_id % 2 = 0)")
-def cache_misses(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("content_sha16"))
-    return rows.where("doc_id % 2 = 1").join(rows.where("doc_id % 2 = 0").select("content_sha16").distinct(), "content_sha16", "left_anti").select("doc_id")
+@query("""
+    with a as (select substr(sha256(text), 1, 16) as id, doc_id % 3 = 0 as first from documents)
+    select id, bool_or(first) as stored_first from a group by id""")
+def idempotent_append(spark, sf_dir):
+    """What a store holds after a third of the documents was appended, then all of them, then all again."""
+    rows = table(spark, sf_dir, "documents")
+    store, again = FactStore(spark, f"{scratch(spark)}/facts"), None
+    for part in (rows.where("doc_id % 3 = 0"), rows, rows):
+        store.append(_facts_of(part))
+        again = again or spark.read.schema(FACT_SCHEMA).parquet(store.path).select("id").withColumn("stored_first", F.lit(True))
+    return store.facts().select("id").join(again, "id", "left").select("id", F.coalesce("stored_first", F.lit(False)).alias("stored_first"))
+
+
+@query("select cast(doc_id as string) as name, substr(sha256(text), 1, 16) in (select substr(sha256(text), 1, 16) from documents where doc_id % 2 = 0) as hit from documents where doc_id % 2 = 1")
+def cache_lookup(spark, sf_dir):
+    """Documents of odd ids asked of a cache that has the others: a hit gives one fact under the asking document's name, with an id of its own."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_document"), content_hash(F.col("text")).alias("content_sha16"), "doc_id", "text", F.lit("s").alias("source"))
+    cache = ExtractionCache(spark, f"{scratch(spark)}/cache", EngineConf().signature())
+    known = rows.where("doc_id % 2 = 0").groupBy("content_sha16").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"), F.lit("s").alias("source"))
+    facts = _facts_of(known).withColumn("content_sha16", F.col("id"))
+    cache.put(known, facts)
+    asked = rows.where("doc_id % 2 = 1").select("source_document", "content_sha16")
+    hits = cache.hits(asked).dropDuplicates(["id"]).select(F.col("source_document").alias("name"), F.lit(True).alias("hit"))
+    return hits.union(cache.misses(asked).select(F.col("source_document").alias("name"), F.lit(False).alias("hit")))
 
 
 # ------------------------------------------------------------------ layout
