@@ -4,8 +4,9 @@ Texts are normalised to words joined by single spaces; the automaton holds every
 every item (an item of fewer words, but not none, is one window), padded by spaces so that matches fall on word borders.
 One scan of a text gives all occurrences; they are kept as word ranges and mapped back to code points of the original.
 
-The benchmark goes to executors as a broadcast only in blocks of at most BLOCK_BYTES of text; a larger benchmark is cut into
-more blocks, and each document passes one automaton after the other, so nothing is left out and no memory bound is passed.
+An automaton has at most about BLOCK_NODES nodes (one for each character of a window's text at most; a node takes some 40 bytes in each
+Python worker).  A larger benchmark is dealt to more blocks, long items in pieces that overlap by a window less a word; the documents pass one automaton
+after the other and are written between them, so no worker ever holds two, and nothing is left out.
 
 Defined results: null and empty texts have no words and no hits; null items are ignored; repeated rows are scanned each on
 their own; extra columns pass through (those named as the added ones are replaced); an empty benchmark hits nothing.
@@ -23,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriloom.llm import shared
+
 #: Fixed values of the word definition: A-Z lower-cased; ASCII letters and digits and all beyond ASCII make words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_NODES = 8_000_000
+#: Words of a piece of a long item.
+PIECE = 2000
 
 RANGE = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -95,20 +100,34 @@ def original(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b][1]) for a, b in ranges]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _pieces(benchmark: DataFrame, size: int, item: str, item_text: str) -> DataFrame:
+    """item, text: normalised items of at most PIECE words; of longer ones pieces that have all their windows."""
+    lower = F.translate(F.col(item_text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(WORD.pattern), F.lit(0))
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), words.alias("w")).where("item is not null and size(w) > 0")
+    first = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)), F.lit(PIECE - size + 1))
+    return rows.select("item", "w", F.explode(first).alias("i")).select("item", F.array_join(F.slice("w", F.col("i"), F.lit(PIECE)), " ").alias("text"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block_nodes: int = BLOCK_NODES) -> DataFrame:
     """Documents with n_words, hits (word ranges), spans (code points of the original) and items (ids as sorted strings)."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
+    bench = _pieces(benchmark, size, item, item_text)
+    total = bench.agg(F.sum(F.char_length("text") + 1)).first()[0] or 0
+    n_blocks = -(-total * size // block_nodes) or 1
     names = {f.name for f in ADDED}
     base = docs.select(*[c for c in docs.columns if c not in names])
-    out, schema = base, T.StructType([*base.schema.fields, *ADDED])
+    out, schema, before = base, T.StructType([*base.schema.fields, *ADDED]), None
     for b in range(n_blocks):
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b) if n_blocks > 1 else bench
-        # bounded: a block has about block_bytes of text, and one item's windows hold at most `size` times its text
+        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b) if n_blocks > 1 else bench
+        # bounded: a block's windows have about block_nodes characters
         held = spark.sparkContext.broadcast({"windows": windows([(r.item, r.text) for r in part.orderBy("item", "text").collect()], size)})
         out = out.mapInArrow(_scanner(held, base.columns, text, schema, first=b == 0), schema)
+        if b < n_blocks - 1:
+            out = shared.table(out, "scanned")
+            if before is not None:
+                shared.drop(before)
+            before = out
     return out
 
 
