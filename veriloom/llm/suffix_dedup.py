@@ -37,6 +37,8 @@ LENGTH = 100
 GRAM = 40
 BLOCK = 1 << 18
 FLUSH = 4_000_000
+#: Suffixes of a bucket, some 40 MB with what is made of them.
+BUCKET_ROWS = 100_000
 _M = [U(int(x)) for x in mix(np.arange(1, 9, dtype=U)) | U(1)]
 _BYTE = mix(np.arange(256, dtype=U) + U(977))
 NULL_ID = -(1 << 63)
@@ -354,8 +356,13 @@ def _compared(docs: DataFrame, first: DataFrame, n: int) -> DataFrame:
     """Step 3: the first occurrences of segments that share their anchor with others, as sorted suffixes."""
     several = first.groupBy("gram").agg(F.min("segment").alias("lo"), F.max("segment").alias("hi")).where("lo < hi").select("gram")
     starts = first.join(several, "gram").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    starts = shared.table(starts, "starts")
+    # a bucket is read whole: of about BUCKET_ROWS suffixes, those of equal leading bytes dealt to several by what else tells them apart
+    buckets = max(n, -(-(starts.agg(F.sum(F.size("starts"))).first()[0] or 0) // BUCKET_ROWS))
     suffixes = docs.join(starts, "doc_id").mapInArrow(_bytes, "doc_id long, start long, windows long, left binary, right binary")
-    return shared.table(suffixes.repartitionByRange(n, "right").mapInArrow(_bucket, "doc_id long, first long, last long, h1 long, h2 long"), "compared")
+    found = shared.table(suffixes.repartitionByRange(buckets, "right", "left", "doc_id", "start").mapInArrow(_bucket, "doc_id long, first long, last long, h1 long, h2 long"), "compared")
+    shared.drop(starts)
+    return found
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
