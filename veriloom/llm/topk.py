@@ -94,7 +94,9 @@ def threshold_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
             seen |= now
             met += len(new)
             new = new[ids[new] != own]
-            scores, places = np.concatenate([scores, table[new] @ q]), np.concatenate([places, new])
+            # picking most rows out of the table costs more than multiplying it whole
+            met_scores = table[new] @ q if len(new) * 8 < m else (table @ q)[new]
+            scores, places = np.concatenate([scores, met_scores]), np.concatenate([places, new])
             first = _best(scores, places, k)
             scores, places = scores[first], places[first]
             if reach == m:
