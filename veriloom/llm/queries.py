@@ -52,8 +52,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything is read back from the examples: the turns from a conversation's longest one, the loss text by the masks."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
-    two = [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
-    rows = chat.examples(turns.unionByName(spark.createDataFrame(two, "conv_id long, turn long, role string, text string")))
+    role = F.when(F.col("id") == 0, "user").otherwise(F.lit(chat.ASSISTANT))
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
+    rows = chat.examples(turns.unionByName(two))
     loss = F.when(F.col("loss_start").isNotNull(), chat.unescape(F.col("formatted").substr(F.col("loss_start") + 1, F.col("loss_chars"))))
     whole = F.max_by("formatted", "n_turns")
     read = (
