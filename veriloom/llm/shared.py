@@ -12,6 +12,9 @@ def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the cluster names it; only where it is unset (one machine, tests) a folder of our own."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if not named and not context.getCheckpointDir() and not one_machine:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='veriloom-')}")
     path = (named or context.getCheckpointDir()).rstrip("/")
