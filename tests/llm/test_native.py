@@ -1,9 +1,9 @@
 """Secrets, chat and mixing, against plain Python."""
 
-import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -51,6 +51,31 @@ def test_window_entropy(spark):
         assert abs(r.h - best) < 1e-9
 
 
+def test_rest_of_a_run_is_scored(spark):
+    """What stands beside a base span in its run, and a random part beside a harmless one, are found; a harmless part alone isn't."""
+    access = "AKIA" + "A1B2" * 5
+    texts = [f"{access}/{KEY}", f"example/{KEY}", f"path/{KEY}/sample", f"lorem/example{KEY}", f"x={KEY}", "some/path/without/numbers/at/all"]
+    rows = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "id int, text string, base_spans int, __base int")
+    got = [r.s for r in secrets.scan(rows).orderBy("id").select(secrets.listed(F.col("all_spans")).alias("s")).collect()]
+    assert got == ["access:0:24,entropy:24:49", "entropy:0:32", "entropy:0:36", "", "entropy:0:26", ""]
+    clean = secrets.redact(rows).orderBy("id").collect()
+    assert clean[0].text == "[REDACTED]" and clean[0].base_spans == 1 and clean[0]["__base"] == 2
+
+
+def test_texts_of_many_spans(spark):
+    """Two texts of a megabyte, one of 20,000 hex words and one run without a break: positions stay exact and time stays linear."""
+    rng = random.Random(24)
+    words = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) + " é" for _ in range(20_000))
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+") for _ in range(300_000))
+    rows = spark.createDataFrame([(0, words), (1, run), (2, "\x01 token=abcdef1 " + words[:100])], "id int, text string")
+    began = time.time()
+    got = {r.id: r for r in secrets.scan(rows).select("id", "text", F.size("base_spans").alias("n"), secrets.listed(F.col("base_spans")).alias("a"), F.size("all_spans").alias("m")).collect()}
+    assert got[0].n == 20_000 == got[0].m and got[0].a == brute_spans(words) and got[1].m == 1
+    clean = {r.id: r.text for r in secrets.redact(rows).collect()}
+    assert clean[0] == " ".join(["[REDACTED] é"] * 20_000) and clean[1] == "[REDACTED]" and clean[2] == "\x01 [REDACTED] " + "[REDACTED] é [REDACTED] é [REDACTED]"[: len("[REDACTED] é [REDACTED] é [REDACTED]")]
+    assert time.time() - began < 120
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "a token=abcdef1 b", 5), (2, None, 6), (3, "", 7), (4, "plain", 8), (5, "é token=" + "0123456789abcdef" * 2, 9)], "doc_id int, text string, spans int")
     got = {r.doc_id: (r.text, r.spans) for r in secrets.redact(rows).collect()}
@@ -159,9 +184,5 @@ def test_query_rows_come_in_training_order(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     first = {r.doc_id: min(r.positions, default=2.0) for r in mixing.allocate(docs).collect()}
     got = op10_mixing(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "last_position"]
     assert [r.doc_id for r in got.collect()] == sorted(first, key=lambda i: (first[i], i))
-
-
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

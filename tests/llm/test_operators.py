@@ -9,7 +9,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from veriloom.llm import chaining, components, decontaminate, ngram_join, quality, suffix_dedup, textkit, topk, warc
+from veriloom.llm import chaining, components, decontaminate, ngram_join, quality, shared, suffix_dedup, textkit, topk, warc
 from veriloom.llm.queries import op1_warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +53,8 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hub = spark.createDataFrame([(0, i) if i % 2 else (i, 0) for i in range(1, 3000)] + [(None, 5), (7, None), (None, None)], "a long, b long")
+    assert {(r.node, r.component) for r in components.components(hub).collect()} == {(i, 0) for i in range(3000)}
 
 
 # ------------------------------------------------------------------ WARC
@@ -102,6 +104,29 @@ def test_warc_notices_a_changed_file(spark, tmp_path):
         assert "isn't the file that the manifest lists" in str(problem)
 
 
+def test_shards_are_even_whatever_the_ids(spark, tmp_path):
+    """Ids at both ends of a long, far from all others, hundreds of shards, and rows without an id: shards keep their size, all rows come back."""
+    ids = [-(1 << 62), (1 << 63) - 1, -(1 << 63), 1 << 62, *range(200), *range(10**15, 10**15 + 200)]
+    rows = [(i, f"u{i}", f"{i} ".ljust(2000, "x")) for i in ids] + [(None, f"n{i}", f"{i} ".ljust(2000, "y")) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard_bytes, least in ((40_000, 20), (2000, 400)):
+        root = f"file://{tmp_path}/{shard_bytes}"
+        manifest = warc.write(frame, root, shard_bytes=shard_bytes).collect()
+        by_shard = {}
+        for m in manifest:
+            by_shard[m.shard] = by_shard.get(m.shard, 0) + m.records
+        assert len(by_shard) >= least and max(by_shard.values()) <= max(20, shard_bytes // 2000 + 20)
+        back = warc.read(spark, root).collect()
+        assert sorted((r.page_id is not None, r.page_id or 0, r.url, bytes(r.payload)) for r in back) == sorted((i is not None, i or 0, u, h.encode()) for i, u, h in rows)
+        order = [(m.shard, m.roll) for m in sorted(manifest, key=lambda m: m.file)]
+        assert order == sorted(order)
+    narrow = frame.where("page_id is not null").select("page_id", F.lit(2000).cast("long").alias("n"))
+    cuts = warc.splitters(narrow, 10_000, 64)  # few cells: several passes
+    assert cuts == sorted(set(cuts)) and cuts[-1] > 10**15
+    found = spark.createDataFrame([(i,) for i in ids], "page_id long").withColumn("n", warc._upper_bound(cuts)).collect()
+    assert all(r.n == sum(c <= r.page_id for c in cuts) for r in found)
+
+
 def test_warc_of_nothing(spark):
     empty = pages(spark)[1].where("page_id > 1000")
     assert warc.archive(empty).count() == 0 and "refers_to" in op1_warc.__globals__["warc"].RECORD
@@ -163,35 +188,120 @@ def test_hot_shingles_go_through_blocks(spark, monkeypatch):
     rows = near_rows()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     whole = ngram_join.links.__defaults__
-    monkeypatch.setattr(ngram_join.links, "__defaults__", (2, 16, 50))
+    monkeypatch.setattr(ngram_join.links, "__defaults__", (2, 1500, 50))
     got = {r.doc_id: r.component_id for r in ngram_join.groups(frame, 5, (80, 100)).collect() if r.doc_id is not None}
     assert whole[0] == ngram_join.COLD and got == brute_groups(rows, 5, (80, 100))
 
 
-def test_trie_finds_what_a_plain_join_finds():
-    rng = np.random.default_rng(9)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(80)]
-    tree = ngram_join.Trie(sets)
-    for x in sets[::5]:
-        wanted = [j for j, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 60 * len(np.union1d(x, y))]
-        assert sorted(tree.search(x, (60, 100)).tolist()) == wanted
+def flat(sets):
+    size = np.array([len(s) for s in sets])
+    return size, np.cumsum(size) - size, np.concatenate(sets)
+
 
+def test_prefix_trees_find_what_a_plain_join_finds():
+    rng = np.random.default_rng(26)
+    sets, xs, asking, target = [], [], [], []
+    for u in range(60):
+        near = np.unique(rng.integers(0, 300, rng.integers(1, 120)))
+        xs.append(len(sets))
+        sets.append(near)
+        for _ in range(rng.integers(1, 9)):
+            s = near[rng.random(len(near)) > rng.choice([0.0, 0.05, 0.2])]
+            asking.append(u)
+            target.append(len(sets))
+            sets.append(np.unique(np.concatenate([s, rng.integers(0, 400, rng.integers(0, 1 + len(near) // 5)), [near[0]]])))
+    got = ngram_join.searched(np.array(asking), np.array(target), np.array(xs), *flat(sets), (80, 100))
+    plain = [i for i, (u, s) in enumerate(zip(asking, target, strict=True)) if 100 * len(np.intersect1d(sets[xs[u]], sets[s])) >= 80 * len(np.union1d(sets[xs[u]], sets[s]))]
+    assert got.tolist() == plain and 50 < len(plain) < len(target)
 
-def test_trie_of_near_copies_with_small_codes():
+
+def test_prefix_trees_of_near_copies_with_small_codes():
     rng = np.random.default_rng(20)
     sets = []
     for _ in range(300):
         s = np.arange(150)
         s = np.delete(s, rng.integers(0, 150, rng.integers(0, 16)))
         sets.append(np.unique(np.concatenate([s, rng.integers(150, 400, rng.integers(0, 12))])))
-    tree = ngram_join.Trie(sets)
     member = np.zeros((len(sets), 400), dtype=np.int64)
     for i, s in enumerate(sets):
         member[i, s] = 1
     both, size = member @ member.T, member.sum(axis=1)
-    for i, x in enumerate(sets):
-        wanted = np.flatnonzero(100 * both[i] >= 85 * (size[i] + size - both[i]))
-        assert sorted(tree.search(x, (85, 100)).tolist()) == wanted.tolist()
+    asking, target = np.repeat(np.arange(300), 300), np.tile(np.arange(300), 300)
+    got = ngram_join.searched(asking, target, np.arange(300), *flat(sets), (85, 100))
+    assert got.tolist() == np.flatnonzero((100 * both >= 85 * (size[:, None] + size[None, :] - both)).ravel()).tolist()
+
+
+def test_units_give_spanning_forests(monkeypatch):
+    """Units of one side and of two, of sets that all link, of some that do and of none that do: the same components as all pairs make."""
+    rng = np.random.default_rng(31)
+    monkeypatch.setattr(ngram_join, "TARGETS", 40)
+
+    def some(base, change):
+        return np.unique(np.concatenate([base[rng.random(len(base)) > change], rng.integers(0, 10**6, int(len(base) * change))]))
+
+    units, number = [], 0
+    for _ in range(40):
+        bases = [np.unique(rng.integers(0, 10**6, rng.integers(20, 200))) for _ in range(rng.integers(1, 4))]
+        sides = []
+        for _ in range(2):
+            side = {}
+            for _ in range(rng.integers(1, 25)):
+                side[number] = some(bases[rng.integers(len(bases))], rng.choice([0.0, 0.02, 0.06, 0.5]))
+                number += 1
+            sides.append(side)
+        units.append((sides[0], sides[1] if rng.random() > 0.4 else {}))
+    got = ngram_join.Units(units).forest((85, 100))
+
+    def components(pairs, nodes):
+        root = {x: x for x in nodes}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        joined = 0
+        for x, y in pairs:
+            p, q = find(x), find(y)
+            joined += p != q
+            root[max(p, q)] = min(p, q)
+        return {x: find(x) for x in nodes}, joined
+
+    every, nodes = [], []
+    for left, right in units:
+        nodes += [*left, *right]
+        every += [(x, y) for x, a in left.items() for y, b in (right or left).items() if x != y and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))]
+    wanted, mine = components(every, nodes), components(got, nodes)
+    assert mine[0] == wanted[0] and mine[1] == len(got) and len(got) > 100 and set(got) <= set(every) | {(y, x) for x, y in every}
+
+
+def test_names_that_different_sets_share(spark, monkeypatch):
+    """Sets whose first names are equal go by their second ones."""
+    rows = near_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = frame.where("doc_id is not null")
+    read = ngram_join.document_sets(docs, 5).where("n > 0").select("name", "other").distinct().collect()
+    assert len(read) == len({r.name for r in read}) == len({r.other for r in read})
+    doubtful = np.sort(np.array([r.name for r in read], dtype=np.int64))
+    import pyarrow as pa
+
+    for _, run, offsets in ngram_join._sets(textkit.Hasher(), pa.array([t for _, t in rows[:30]]), 5):
+        one, two = ngram_join._names(run, offsets)
+        assert (ngram_join._identity(run, offsets, doubtful) == two).all() and (ngram_join._identity(run, offsets, doubtful[:0]) == one).all()
+
+
+def test_a_large_group_of_near_copies(spark):
+    """10,000 near copies of one text, all over frequent shingles: one group, blocks and no pairs."""
+    rng = random.Random(27)
+    base = prose(rng, 60, 10**6).split()
+    rows = []
+    for i in range(10_000):
+        w = list(base)
+        w[rng.choice((0, 59))] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(20_000 + i, prose(rng, 60, 10**6)) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(10_000)} == {0} and all(got[i] == i for i in got if i >= 20_000)
 
 
 # ------------------------------------------------------------------ top k
@@ -216,6 +326,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(vectors.where("vec_id < 0"), vectors).count() == 0
 
 
+def test_top_k_at_every_scale():
+    """Scores are exact and ties go to the smaller id, whatever the components' size; a query with a clear winner meets few candidates."""
+    rng = np.random.default_rng(21)
+    for scale in (1, 10, 1000, 10**6, 10**9, 2**61):
+        vectors = rng.integers(-2, 3, (90, 6)).astype(object) * scale + (rng.integers(0, 2, (90, 6)) if scale > 1 else 0)
+        vectors[50:70] = vectors[49]
+        vectors = np.clip(vectors, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+        ids = rng.permutation(90).astype(np.int64) * 7
+        for own, q, (who, found, scores, _) in zip(ids[:25], vectors[:25], topk.threshold_top_k(ids[:25], vectors[:25], ids, vectors, 9), strict=True):
+            exact = sorted((-sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != own)[:9]
+            assert [(-s, i) for s, i in zip(scores, found.tolist(), strict=True)] == exact and set(who.tolist()) == {int(own)}
+    spread = np.zeros((4000, 4), dtype=np.int64)
+    spread[:, 0] = np.arange(4000)
+    met = [x[3] for x in topk.threshold_top_k(np.array([9000, 9001]), np.array([[5, 0, 0, 0], [-5, 0, 0, 0]]), np.arange(4000), spread, 5)]
+    assert max(met) <= topk.STEPS
+
+
 # ------------------------------------------------------------------ passages
 def test_passages(spark):
     rng = random.Random(11)
@@ -229,9 +356,8 @@ def test_passages(spark):
     rows += [(40 + i, f"{words(50 + i)} {' '.join(passage)} {words(40)}", 0) for i in range(5)] + [(50, f"{words(20)} {' '.join(fuzzy)} {words(90)}", 0), (51, " ".join(passage[:30]), 0)]
     rows += [(60, rows[0][1], 0), (61, None, 0), (62, "", 0), (63, "a b c", 0), (None, " ".join(passage), 0), (64, "ho ho " * 300, 0), (65, "ho ho " * 300, 0)]
     got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string, ref_id int")).collect()
-    # a passage's documents hang together through the first of each task, which is the first of all or hangs on it
-    assert {r.doc_id for r in got} == {41, 42, 43, 44, 50, 60, 65} and {0, 40, 64} <= {r.ref_id for r in got} <= {0, 40, 41, 42, 43, 44, 64}
-    assert all(r.ref_id < r.doc_id for r in got)
+    assert {(r.doc_id, r.ref_id) for r in got} == {(41, 40), (42, 40), (43, 40), (44, 40), (50, 40), (60, 0), (65, 64)}
+    assert {(r.ref_id, r.class_documents) for r in got} == {(40, 6), (0, 2), (64, 2)}
     text = {i: WORD.findall(t or "") for i, t, _ in rows}
     for r in got:
         mine, other = text[r.doc_id][r.first_word : r.last_word], text[r.ref_id][r.ref_first_word : r.ref_last_word]
@@ -258,6 +384,72 @@ def test_exact_passage_of_common_phrases(spark):
     assert {r.doc_id for r in got} == {100, 300}
 
 
+def first_holders(rows, size=50):
+    """For each document its windows' first holder, smallest document, then place: document to {window's place: (document, place)}."""
+    words = {i: [w.translate(LOWER) for w in WORD.findall(t or "")] for i, t in rows}
+    first, out = {}, {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - size + 1):
+            first.setdefault(tuple(words[i][j : j + size]), (i, j))
+    for i, w in words.items():
+        out[i] = {j: first[tuple(w[j : j + size])] for j in range(len(w) - size + 1)}
+    return words, out
+
+
+def passage_rows():
+    """Texts that share passages in whole and in parts, many copies of one, parts of it in earlier documents, and repeats within a text."""
+    rng = random.Random(28)
+    own = lambda n: prose(rng, n, 10**6)
+    shared_words = [prose(rng, n, 10**5).split() for n in (55, 70, 120, 200)]
+    rows = [(i, own(rng.randint(5, 120))) for i in range(40)]
+    for i in range(40, 160):
+        w = rng.choice(shared_words)
+        a = rng.randrange(0, len(w) - 50)
+        part = w[a : a + rng.randint(50, len(w) - a)]
+        rows.append((i, f"{own(rng.randint(0, 40))} {' '.join(part)} {own(rng.randint(0, 40))}" + (" " + " ".join(part) if i % 9 == 0 else "")))
+    rows += [(200 + i, " ".join(shared_words[2])) for i in range(60)] + [(300, own(30) + " " + " ".join(shared_words[3][20:150]) + " " + own(10))]
+    return rows
+
+
+def test_passages_equal_brute_force_however_the_table_is_cut(spark, monkeypatch):
+    """Every window of 50 words is covered by a row with its first holder, every row is what it says, and the rows are the same for any tasks."""
+    rows = passage_rows()
+    words, holders = first_holders(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for parts, flush, hot in ((2, chaining.FLUSH, chaining.HOT), (16, 3000, 3), (40, 500, 1)):
+        monkeypatch.setattr(chaining, "FLUSH", flush)
+        monkeypatch.setattr(chaining, "HOT", hot)
+        results.append(sorted(map(tuple, chaining.passages(frame.repartition(parts)).collect())))
+    assert results[0] == results[1] == results[2]
+    names = ["doc_id", "ref_id", "first_word", "last_word", "ref_first_word", "ref_last_word", "matches", "identity", "class_documents"]
+    got = [dict(zip(names, r, strict=True)) for r in results[0]]
+    for r in got:
+        a, b = words[r["doc_id"]][r["first_word"] : r["last_word"]], words[r["ref_id"]][r["ref_first_word"] : r["ref_last_word"]]
+        assert min(len(a), len(b)) >= 50 and r["ref_id"] < r["doc_id"]
+        assert r["matches"] <= chaining.common_words(a, b) and abs(r["identity"] - 2 * r["matches"] / (len(a) + len(b))) < 1e-9 and r["identity"] >= 0.8
+    for i, mine in holders.items():
+        for j, (doc, _) in mine.items():
+            if doc != i:
+                assert any(r["doc_id"] == i and r["ref_id"] == doc and r["first_word"] <= j and j + 50 <= r["last_word"] for r in got), (i, j, doc)
+
+
+def test_altered_passages_are_found(spark):
+    """Recall of passages of 60 to 120 words with that share of words changed, against the identity that brute force sees."""
+    rng = random.Random(29)
+    own = lambda n: prose(rng, n, 10**7).split()
+    rows, planted = [], {}
+    for n, (rate, length) in enumerate((r, k) for r in (0.05, 0.10, 0.15) for k in (60, 80, 120) for _ in range(20)):
+        passage = own(length)
+        changed = [w if rng.random() > rate else f"z{rng.randrange(10**7)}" for w in passage]
+        rows += [(2 * n, " ".join(own(30) + passage + own(30))), (2 * n + 1, " ".join(own(20) + changed + own(40)))]
+        if chaining.common_words(passage, changed) >= 0.8 * length:
+            planted[2 * n + 1] = rate
+    found = {r.doc_id for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {r: np.mean([i in found for i, x in planted.items() if x == r]) for r in (0.05, 0.10, 0.15)}
+    assert found <= set(planted) | {i for i, _ in rows if i % 2} and recall[0.05] >= 0.98 and recall[0.10] >= 0.95 and recall[0.15] >= 0.85, recall
+
+
 def test_chains_follow_both_texts():
     points = [(i, i + 100) for i in range(0, 60, 3)] + [(5, 3), (20, 400), (75, 175), (300, 390)]
     best = chaining.chains(points)[0]
@@ -320,6 +512,17 @@ def test_buckets_compare_across_boundaries(spark):
     assert got == brute_dedup(rows)
 
 
+def test_equal_leading_bytes_are_dealt_to_several_buckets(spark, monkeypatch):
+    """A boilerplate line before which and after which everything differs: its suffixes fill many buckets, and nothing is lost between them."""
+    rng = random.Random(30)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = letters(110)
+    rows = [(i, letters(rng.randint(0, 90)) + line + letters(rng.randint(0, 90))) for i in range(150)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 20)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows)
+
+
 def test_multikey_order():
     rng = np.random.default_rng(13)
     rows = rng.integers(0, 3, (200, 16)).astype(np.uint8)
@@ -331,7 +534,7 @@ def test_multikey_order():
 
 
 # ------------------------------------------------------------------ decontamination
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(14)
     items = [(i, prose(rng, rng.choice([3, 12, 13, 14, 40]), 50)) for i in range(12)] + [(20, None), (21, " ?! "), (22, "Café  au-lait"), (3, "Café  au-lait")]
     docs = [(i, prose(rng, 30, 50).upper() + "... " + rng.choice(items[:12])[1].replace(" ", ", ") + "!" + prose(rng, 5, 50), "n") for i in range(60)]
@@ -345,8 +548,9 @@ def test_decontamination(spark):
             wins.setdefault(tuple(w[j : j + 13]), set()).add(str(i))
     frame = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 200):
-        for r in decontaminate.scan(frame, bench, block_bytes=block).withColumn("n_hit", decontaminate.hit_words()).collect():
+    for block, piece in ((decontaminate.BLOCK_NODES, decontaminate.PIECE), (5000, 15)):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        for r in decontaminate.scan(frame, bench, block_nodes=block).withColumn("n_hit", decontaminate.hit_words()).collect():
             w, hit, found = cut(r.text), set(), set()
             for size in {len(x) for x in wins}:
                 for j in range(len(w) - size + 1):
@@ -355,6 +559,8 @@ def test_decontamination(spark):
                         found |= ids
             assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(found)), r.doc_id
             assert sum(len(cut(r.text[s.start : s.end])) for s in r.spans) == len(hit)
+    most = max(sum(len(w) for w in decontaminate.windows([(r.item, r.text)]).keys()) for r in decontaminate._pieces(bench, 13, "item_id", "text").collect())
+    assert most <= 13 * 15 * 6  # a piece's windows
     assert decontaminate.scan(frame, bench.where("item_id < 0")).where("size(hits) > 0").count() == 0
     assert decontaminate.scan(frame.where("doc_id < 0"), bench).count() == 0
 
@@ -368,7 +574,6 @@ def test_quality(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, log_ratio int")
     labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1, 0) for i in range(0, 600, 2)] + [(None, 1, 0), (1, None, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     kept = [r.doc_id for r in quality.resample(docs, labels).collect()]
-    assert kept == sorted(kept) or set(kept)
     held_out = [i for i in range(1, 600, 2)]
     clean, junk = [i for i in held_out if i % 5], [i for i in held_out if i % 5 == 0]
     assert sum(i in set(kept) for i in clean) / len(clean) > 0.97 and sum(i in set(kept) for i in junk) / len(junk) < 0.05
@@ -378,6 +583,60 @@ def test_quality(spark):
     assert no_labels.count() == 602 and quality.resample(docs.where("doc_id < 0"), labels).count() == 0
 
 
+def test_log_weights_and_sample_equal_brute_force(spark):
+    """Weights from dictionaries of words and pairs, and the k documents of the largest weight plus noise; nulls, ties and repeated rows included."""
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    rows = [(i, prose(rng, rng.randint(1, 12), 9 if i % 4 else 4)) for i in range(80)] + [(90, None), (91, " "), (None, "w1 w2"), (None, "w3"), (92, "w1 w1"), (92, "w1 w1")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(0, 80, 2) if i % 4}
+    grams = []
+    for _, text in rows:
+        data, offsets = textkit.texts(pa.array([text]))
+        grams.append(quality.features(textkit.Hasher(), data, offsets)[0].tolist())
+    half = lambda c: c // quality.BUCKETS
+    wanted = {}
+    for at, (i, text) in enumerate(rows):
+        if not grams[at]:
+            continue
+        raw, target = {}, {}
+        for n, (j, _) in enumerate(rows):
+            for c in grams[n]:
+                raw[c] = raw.get(c, 0) + 1
+                if j in good and n != at:
+                    target[c] = target.get(c, 0) + 1
+        size = lambda m, h: sum(v for c, v in m.items() if half(c) == h)
+        scale = [size(target, h) / size(raw, h) for h in (0, 1)]
+        wanted[at] = sum(np.log((target.get(c, 0) + 3.0) / (raw[c] * scale[half(c)] + 3.0)) for c in grams[at])
+    everyone = quality.resample(docs, labels, k=10**9, prior=3.0).collect()
+    order = lambda pairs: sorted((repr(i), round(v, 4)) for i, v in pairs)
+    assert order((r.doc_id, r.log_weight) for r in everyone) == order((rows[at][0], v) for at, v in wanted.items())
+    for k in (1, 17, 50):
+        cut = sorted((r.key for r in everyone), reverse=True)[k - 1]
+        assert order((r.doc_id, r.key) for r in quality.resample(docs, labels, k=k, prior=3.0).collect()) == order((r.doc_id, r.key) for r in everyone if r.key >= cut)
+
+
+def test_sampling_follows_the_weights(spark):
+    """Over many seeds each document is kept as often as by an independent Gumbel top-k of the same weights; seeds keep different sets."""
+    weights = [(i, (i % 7) * 0.8 - 2) for i in range(140)]
+    scored = shared.cut(spark.createDataFrame([(i, 0, w) for i, w in weights], "doc_id long, text_hash long, log_weight double"))
+    k, seeds = 50, 24
+    sets = []
+    for s in range(seeds):
+        keys = sorted(((r.key, r.doc_id) for r in quality.keyed(scored, f"s{s}").collect()), reverse=True)
+        sets.append({i for _, i in keys[:k]})
+    assert {r.doc_id for r in quality.gumbel_top(quality.keyed(scored, "s0"), k).collect()} == sets[0] and len({frozenset(s) for s in sets}) == seeds
+    rng = np.random.default_rng(23)
+    w = np.array([v for _, v in weights])
+    plain = np.mean([np.isin(np.arange(140), np.argsort(-(w + rng.gumbel(size=140)))[:k]) for _ in range(4000)], axis=0)
+    mine = np.mean([[i in s for i in range(140)] for s in sets], axis=0)
+    for level in range(7):
+        at = np.arange(140) % 7 == level
+        assert abs(plain[at].mean() - mine[at].mean()) < 0.08, level
+
+
 def test_toxic_documents_are_rejected(spark):
     """Toxic documents of good prose, without their label as well as with it; the clean ones without a label stay."""
     rng = random.Random(16)
