@@ -275,6 +275,51 @@ def test_units_give_spanning_forests(monkeypatch):
     assert mine[0] == wanted[0] and mine[1] == len(got) and len(got) > 100 and set(got) <= set(every) | {(y, x) for x, y in every}
 
 
+def test_parities_never_say_more_than_the_sets_differ():
+    rng = np.random.default_rng(41)
+    sets = []
+    for size in (0, 1, 5, 63, 64, 65, 130, 900, 1100, 5000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        for change in (0.0, 0.03, 0.1, 0.5):
+            sets.append(np.unique(np.concatenate([base[rng.random(size) >= change], rng.integers(0, 1 << 63, int(size * change), dtype=np.uint64) * np.uint64(2) + np.uint64(1)])))
+    parities = ngram_join._parities(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets])).to_pylist()
+    assert [len(p) * 8 for p, s in zip(parities, sets, strict=True) if len(s)] == [max(64, 1 << (len(s) - 1).bit_length()) for s in sets if len(s)]
+    x, y = (v.ravel() for v in np.meshgrid(*[[i for i, s in enumerate(sets) if len(s)]] * 2))
+    differ = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    size = np.array([len(sets[i]) + len(sets[j]) for i, j in zip(x, y, strict=True)])
+    told = ngram_join.differing([parities[i] for i in x], [parities[j] for j in y])
+    assert (told <= differ).all() and (told[x == y] == 0).all() and ((told - differ) % 2 == 0).all()
+    unlike = (differ == size) & (np.abs(np.log(np.array([len(s) for s in sets])[x] / np.array([len(s) for s in sets])[y])) < 0.2) & (size > 100)
+    assert unlike.sum() > 0 and (told[unlike] * 185 > size[unlike] * 15).mean() > 0.95
+
+
+def test_unlike_sets_are_not_sent(spark, monkeypatch):
+    """Short texts that share a rare shingle, so that their prefixes alone can't tell them apart, make no pairs to try, and no text is dealt for a trial."""
+    rng = random.Random(42)
+    rows, phrases = [], [prose(rng, 4, 10**6) for _ in range(40)]
+    for i in range(800):
+        rows.append((i, f"{prose(rng, rng.randint(2, 5), 10**6)} {rng.choice(phrases)} {prose(rng, rng.randint(2, 5), 10**6)}"))
+    rows += [(1000 + i, prose(rng, 100, 10**6)) for i in range(20)]
+    rows += [(2000 + i, rows[800 + i][1] + f" x{i}") for i in range(20)]
+    made, plans, table, cut = {}, [], shared.table, shared.cut
+
+    def kept(df, name):
+        made[name] = (out := table(df, name)).count()
+        return out
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(df)
+
+    monkeypatch.setattr(ngram_join.links, "__defaults__", (64, ngram_join.BLOCK, 0))  # in so small a table all shared shingles would be frequent ones
+    monkeypatch.setattr(ngram_join.shared, "table", kept)
+    monkeypatch.setattr(ngram_join.shared, "cut", told)
+    got = {r.doc_id: r.component_id for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()}
+    assert got == brute_groups(rows, 4, (85, 100)) and sum(i != c for i, c in got.items()) == 20
+    assert 20 <= made["pairs"] <= 40, made
+    assert "Join" in plans[0] and not re.search(r"Join \[?\(?doc_id", plans[0])
+
+
 def test_names_that_different_sets_share(spark, monkeypatch):
     """Sets whose first names are equal go by their second ones."""
     rows = near_rows()
