@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import LOWER, WORD, brute_groups, prose
 
-from veriloom.llm import mixing, quality, secrets
+from veriloom.llm import mixing, ngram_join, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +115,12 @@ def test_stages_of_an_empty_table(spark, corpus):
     for name, stage in p.STAGES:
         out = stage(spark, docs.where("doc_id < -1"), folder)
         assert out.count() == 0 and (name == "mixed" or out.columns == p.COLUMNS)
+
+
+def test_one_of_each_asks_for_little_at_the_driver(spark, corpus, monkeypatch):
+    """The bitmap of the documents that are tried is as large as they are many, not 16 MB for a few."""
+    import corpus_pipeline as p
+
+    made, marks = [], ngram_join._marks
+    monkeypatch.setattr(ngram_join, "_marks", lambda *a: made.append(marks(*a)) or made[-1])
+    assert p.one_of_each(spark, corpus[0], "").count() > 0 and made[0].any() and len(made[0]) <= 1 << 16
