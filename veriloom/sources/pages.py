@@ -54,11 +54,15 @@ def ingest_summary(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count_distinct("source_document").alias("documents"), F.count("error").alias("failed"), F.count("source_page").alias("pages"))
 
 
-def preview(pages: DataFrame, first: int = 5, chars: int = 500) -> DataFrame:
-    """The beginning and length of each document's first pages."""
-    text = F.coalesce("text", F.lit(""))
-    shown = F.when(F.trim(text) == "", F.lit("No text")).otherwise(F.substring(text, 1, chars))
-    return pages.where(F.col("source_page") <= first).select("source_document", "source_page", F.length(text).alias("length"), shown.alias("preview"))
+def preview(pages: DataFrame, first: int | None = 5, chars: int = 500, blank: str | None = "No text") -> DataFrame:
+    """The beginning and length of each document's first pages, of all for first=None.  Blank texts are shown as `blank`, for None as they are."""
+    text = F.coalesce("text", F.lit("")) if blank is not None else F.col("text")
+    shown = F.substring(text, 1, chars)
+    if blank is not None:
+        shown = F.when(F.trim(text) == "", F.lit(blank)).otherwise(shown)
+    if first is not None:
+        pages = pages.where(F.col("source_page") <= first)
+    return pages.select("source_document", "source_page", F.length(text).alias("length"), shown.alias("preview"))
 
 
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
