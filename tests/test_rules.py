@@ -75,3 +75,17 @@ def test_confidence_is_clamped(spark):
 def test_status(spark):
     rows = spark.createDataFrame([("they planned it",), ("it was delivered",), ("planned and delivered",), ("nothing",), (None,)], "text string")
     assert [r.s for r in rows.select(rules.status(F.struct("text")).alias("s")).collect()] == ["plan", "actual", "mixed", "unknown", "unknown"]
+
+
+def test_each_cue_is_looked_for_once(spark):
+    """Also below a condition on the outcome and for several verdicts on a pair: otherwise the work grows with each use."""
+    from veriloom import queries
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    for name in ("relationship_summary", "comparisons", "top3_per_label", "guardrail_labels"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("precipitated") == 2, name
+        assert plan.count("mutually exclusive") <= 1, name
+        assert "Repartition" in plan, name
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
