@@ -42,3 +42,22 @@ def test_chunk_pages(same):
 def test_page_text_stats(same):
     odd = documents("null", "''", "'   '", "chr(10)", "repeat('é', 600)")
     same("page_text_stats", documents=f"{odd} union all select 1500000000, 'far', 'en', 's', 3")
+
+
+SUPPLIERS = "select i::bigint as s_suppkey, 'S' as s_name, (i % 7)::int as s_nationkey, (case when i % 5 = 0 then 0.5 else i % 4 end * 1000)::double as s_acctbal from range(60) t(i)"
+
+
+def test_pairs_of_values(same, spark, tmp_path):
+    """Also in several blocks; equal pairs are told apart without an aggregate over all of them."""
+    import __spark_entry__
+    from veriloom import queries
+    from veriloom.operators import pairs
+
+    want = same("unit_conflict_pairs", supplier=SUPPLIERS)
+    same("equal_value_pairs", supplier=SUPPLIERS)
+    facts = queries.supplier_facts(spark, str(tmp_path))
+    found = pairs.unit_conflict_pairs(facts, size=4)
+    assert sorted((int(r.f1.id), int(r.f2.id)) for r in found.collect()) == sorted(want)
+    assert "lo" in found._jdf.queryExecution().optimizedPlan().toString()
+    plan = __spark_entry__.queries()["equal_value_pairs"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
